@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import slices
-from .tokens import default_path, default_pattern, ranks
+from .tokens import Memo, default_path, default_pattern, ranks
 
 LONG = 64
-MEMO = 700_000
+MEMO = 350_000
 
 _ENCODE = """
 with recursive run as (
@@ -59,8 +59,7 @@ class Coder:
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
         self.table = ranks(path)
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[str, bytes]] = {}
-        self.size = memo
+        self.memo = Memo(memo)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.table[t[:k]], self.table[t[k:]], r) for t, r in self.table.items() for k in range(1, len(t)) if t[:k] in self.table and t[k:] in self.table]
         a, b, rank = zip(*pairs) if pairs else ((), (), ())
@@ -103,10 +102,7 @@ class Coder:
         distinct: set[str] = set()
         for p in pieces:
             distinct.update(p)
-        new = [w for w in distinct if w not in self.memo]
-        if len(self.memo) + len(new) > self.size:
-            self.memo.clear()
-            new = list(distinct)
+        new = self.memo.missing(distinct)
         if new:
             coded = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
             self.memo.update(zip(new, ((" ".join(map(str, ids)), body) for ids, body in zip(coded, self.decode_words(coded)))))

@@ -17,6 +17,7 @@ import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir, written
 from .text import slices, split_words, word_hashes
-from .tokens import cuts_at_spaces, default_path, json_encoder
+from .tokens import Memo, cuts_at_spaces, default_path, json_encoder
 
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
@@ -127,8 +128,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.encoder, self.by_word, self.size = json_encoder(path), cuts_at_spaces(path), memo
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.encoder, self.by_word, self.memo = json_encoder(path), cuts_at_spaces(path), Memo(memo)
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -141,14 +141,13 @@ class WordEncoder:
         _, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
         body = w.data.tobytes()
         words = [body[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
-        new = [x for x in words if x not in self.memo]
-        if len(self.memo) + len(new) > self.size:
-            self.memo.clear()
-            new = words
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            coded = self.encoder.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.memo.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in coded)))
+        new = self.memo.missing(words)
+        plain = [x for x in new if x.isascii()]
+        for k in range(0, len(plain), 1000):
+            self.memo.update(self._joined(plain[k : k + 1000]))
+        other = [x for x in new if not x.isascii()]
+        coded = self.encoder.encode_batch([x.decode("utf-8", "replace") for x in other], add_special_tokens=False)
+        self.memo.update(zip(other, (array("I", e.ids).tobytes() for e in coded)))
         known = [self.memo[x] for x in words]
         size = np.array([len(x) for x in known], np.int64) // 4
         flat, begin = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
@@ -158,6 +157,14 @@ class WordEncoder:
         np.cumsum(each, out=total[1:])
         return ids, total[w.first[1:]] - total[w.first[:-1]]
 
+    def _joined(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of ASCII words from one text with a space between them, cut at the words' offsets."""
+        e = self.encoder.encode(b" ".join(words).decode(), add_special_tokens=False)
+        ids = array("I", e.ids).tobytes()
+        begin = np.cumsum([0, *[len(x) + 1 for x in words]])
+        cut = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begin)).tolist()
+        return zip(words, (ids[a:b] for a, b in zip(cut[:-1], cut[1:])))
+
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import os
 import re
 
 
@@ -35,6 +36,7 @@ def rank_encoder(path: str, pattern: str):
 
 @functools.lru_cache(4)
 def json_encoder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -58,3 +60,26 @@ def cuts_at_spaces(path: str) -> bool:
     split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and not re.search(r"(?<!\^)\\s", first["pattern"].get("Regex", "\\s"))
     rest = all(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in cuts[1:])
     return bool(plain and split and rest and not spec.get("post_processor") and not spec.get("truncation"))
+
+
+class Memo(dict):
+    """Values of frequent keys in two generations of bounded size: a key that is asked for again outlives the turn-over."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys) -> list:
+        """Keys without a value; all others are in this dictionary afterwards."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for k in keys:
+            if k not in self:
+                v = old.get(k)
+                if v is None:
+                    new.append(k)
+                else:
+                    self[k] = v
+        return new
