@@ -62,17 +62,22 @@ def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray
     return out
 
 
-def _distinct(grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    pairs = [np.unique(g, return_inverse=True) for g in grams]
-    return [p[0] for p in pairs], [p[1] for p in pairs]
-
-
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Places where sorted keys pass from bucket to bucket."""
     edges = np.array([k * (1 << 64) // buckets for k in range(1, buckets)], U)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Byte planes, the highest first: those of small numbers are mostly zeros and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T[::-1].tobytes()
+
+
+def _unpacked(body: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
+
+
 def _asked(order: int, buckets: int):
     def run(chunk: pa.Table) -> pa.Table:
         text = chunk.column("text").combine_chunks()
@@ -83,7 +88,7 @@ def _asked(order: int, buckets: int):
             keys, at = np.unique(g, return_inverse=True)
             counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
             cut = _cuts(keys, buckets)
-            rows += [(n, b, keys[lo:hi].tobytes(), counts[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:]))]
+            rows += [(n, b, _packed(np.diff(keys[lo:hi], prepend=U(0))), _packed(counts[lo:hi])) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:]))]
         n, b, k, c = zip(*rows)
         number = chunk.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "n": pa.array(n, pa.int32()), "bucket": pa.array(b, pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
@@ -93,12 +98,12 @@ def _asked(order: int, buckets: int):
 
 def _summed(rows: pa.Table) -> pa.Table:
     """All chunks' questions of one bucket and order: the sums, dealt back; and the totals, as chunk -1."""
-    keys = [np.frombuffer(x, U) for x in rows.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()])
+    keys = [np.cumsum(_unpacked(x, U), dtype=U) for x in rows.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(x, np.uint32) for x in rows.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, weights=counts).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     size = np.cumsum([len(k) for k in keys])
-    answers = [x.astype(np.uint32).tobytes() for x in np.split(sums[at], size[:-1])]
+    answers = [_packed(x.astype(np.uint32)) for x in np.split(sums[at], size[:-1])]
     n, b = rows.column("n")[0].as_py(), rows.column("bucket")[0].as_py()
     more = len(answers) + 1
     return pa.table({
@@ -136,7 +141,7 @@ def _scored(order: int, mu: float, tokens_in_training: int, kinds: int):
         count = []  # of the n-gram that ends at each place
         for n, g in enumerate(_grams(tokens, first, order), 1):
             _, at = np.unique(g, return_inverse=True)
-            count.append(np.frombuffer(b"".join(c for m, c in given if m == n), np.uint32)[at].astype(np.float64))
+            count.append(np.concatenate([_unpacked(c, np.uint32) for m, c in given if m == n])[at].astype(np.float64))
         p = (count[0] + 0.5) / (tokens_in_training + 0.5 * (kinds + 1))
         base = np.log10(p)
         arcs, failures, states = [base.tolist()], [[]], [[]]

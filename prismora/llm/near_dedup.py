@@ -2,7 +2,8 @@
 
 1. Documents with the same shingle set are one class; only classes go on.
 2. Each class gets BANDS * ROWS minima of h -> a*h + b (mod 2^64, a odd); a band's minima make a bucket key.
-3. First pass: every member of a bucket is tried against the bucket's least member (a star, linear in its size).
+3. First pass: every class is tried against the least and the greatest of the least members of its buckets (stars,
+   two pairs a class at most).
 4. The links found are joined to components by alternating large-star and small-star.
 5. Second pass: only pairs of a bucket that are still in different components are tried, so that no link between
    components is lost and groups of copies, already joined, make no pairs. Large buckets are dealt out in block pairs.
@@ -58,36 +59,25 @@ def _digest(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.tobytes())
 
 
-def _sizes(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = list(_sets(batch.column(1), n))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) if len(x) else None for x in found], pa.binary())],
-                names=["doc_id", "text_key", "n_shingles", "node"],
-            )
-
-    return run
-
-
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             nodes, sizes, bands, signs = [], [], [], []
-            for x in _sets(batch.column(0), n):
+            for x in _sets(batch.column(1), n):
+                sizes.append(len(x))
                 if not len(x):
+                    nodes.append(None), bands.append(None), signs.append(None)
                     continue
                 low = signature(x)
                 key = np.zeros(BANDS, U)
                 for r in range(ROWS):
                     key = mix(key + low[r::ROWS])
                 nodes.append(_digest(x))
-                sizes.append(len(x))
                 bands.append(mix(key + np.arange(BANDS, dtype=U)).view(np.int64))
                 signs.append((low >> U(48)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                names=["node", "n", "bands", "sign"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "node", "bands", "sign"],
             )
 
     return run
@@ -169,7 +159,8 @@ def near_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(n, percent), "a binary, b binary")
 
-    star = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = member.where("node <> head").groupBy("node").agg(F.array_distinct(F.array(F.min("head"), F.max("head"))).alias("heads"))
+    star = heads.select(F.explode("heads").alias("a"), F.col("node").alias("b"))
     star = (
         star.join(slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa")), "a")
         .join(slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb")), "b")
@@ -205,10 +196,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sized = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sizes(words), f"doc_id {kind}, text_key long, n_shingles long, node binary")
-    sized = written(sized, "sizes", spark)
-    signed = rows.select("text").mapInArrow(_signed(words), "node binary, n long, bands array<long>, sign binary")
-    classes = written(signed.dropDuplicates(["node"]), "signatures", spark)
+    signed = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signed(words), f"doc_id {kind}, text_key long, n_shingles long, node binary, bands array<long>, sign binary")
+    signed = written(signed, "signed", spark)
+    sized = signed.select("doc_id", "text_key", "n_shingles", "node")
+    classes = signed.where("node is not null").select("node", F.col("n_shingles").alias("n"), "bands", "sign").dropDuplicates(["node"])
+    classes = written(classes, "classes", spark)
     named = rows.select("text").mapInArrow(_named(words), "node binary, text string")
     comp = near_links(classes, named, words, percent)
     out = sized.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -23,6 +23,7 @@ def written(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataF
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to any more
     out = spark.read.schema(df.schema).parquet(path)
     out.prismora_path = path
     return out
