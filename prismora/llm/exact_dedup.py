@@ -73,21 +73,21 @@ def digest_groups(rows: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> Da
 
 def _found(docs: DataFrame, id_col: str, text_col: str, snapshot: Column | None, digest_hex: int, keys_per_filter: int) -> DataFrame:
     """(doc_id, sha, keep_id, n_top, group_size) of every row."""
+    spark = docs.sparkSession
     rows = _digested(docs, id_col, text_col, snapshot, digest_hex)
-    groups = written(digest_groups(rows.select("doc_id", "digest", "old"), keys_per_filter), "groups", docs.sparkSession)
-    multi = groups.where("group_size > 1")
-    stays = (
-        rows.join(multi.select("digest", "keep_id"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("digest").agg(F.min("norm").alias("stay_norm"))
-    )
-    differ = rows.join(stays, "digest").where("norm <> stay_norm").select("digest")
+    slim = written(rows.select("doc_id", "digest", "sha", "old"), "slim", spark)
+    groups = written(digest_groups(slim.select("doc_id", "digest", "old"), keys_per_filter), "groups", spark)
+    # texts of the groups' members only, for the byte checks
+    members = rows.join(groups.where("group_size > 1").select("digest", "keep_id"), "digest").select("doc_id", "digest", "sha", "keep_id", "norm")
+    members = written(members, "members", spark)
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stay_norm"))
+    differ = members.join(stays, "digest").where("norm <> stay_norm").select("digest")
     cols = ["doc_id", "sha", "keep_id", "n_top", "group_size"]
-    slim = rows.select("doc_id", "digest", "sha")
     if differ.isEmpty():
         return slim.join(groups, "digest").select(cols)
     # colliding digests: their groups are made anew from the bytes
     clash = written(differ.distinct(), "clash")
-    exact = rows.join(clash, "digest", "left_semi")
+    exact = members.drop("keep_id").join(clash, "digest", "left_semi")
     again = (
         exact.groupBy("norm", "doc_id").agg(F.count("*").alias("n"))
         .groupBy("norm").agg(F.max(F.struct("doc_id", "n")).alias("top"), F.sum("n").alias("group_size"))
