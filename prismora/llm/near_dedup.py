@@ -5,10 +5,11 @@
 3. First pass: every class is tried against the least and the greatest of the least members of its buckets (stars,
    two pairs a class at most).
 4. The links found are joined to components by alternating large-star and small-star.
-5. Second pass: only pairs of a bucket that are still in different components are tried, so that no link between
-   components is lost and groups of copies, already joined, make no pairs. Large buckets are dealt out in block pairs.
-A candidate is dropped early only where sizes or the signature exclude the threshold; the others are confirmed on
-their full shingle sets. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^6)^40 = 5e-6.
+5. Second pass: buckets that still hold several components are dealt out in block pairs with the full shingle sets.
+   A block pair tries every pair across components, in the first bucket that the pair shares, and gives the links of a
+   spanning forest only: no more rows than members, and no link between components is lost.
+In the first pass a candidate is dropped early only where sizes or the signature exclude the threshold; all links are
+confirmed on full shingle sets. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^6)^40 = 5e-6.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing; they are kept. Repeated
 rows have the same set and so the same component. An empty table gives an empty result.
@@ -32,7 +33,7 @@ from .text import U, coefficients, mix, ngram_hashes, shingles, slices, split_wo
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 MARGIN = 0.14  # 5.4 standard errors of the signature's estimate at 0.8
-BLOCK = 1024  # members of a bucket that are compared in one task
+BLOCK, SHINGLES = 1024, 1 << 20  # members of a bucket in one block on average, and shingles of their sets
 _A, _B = coefficients(HASHES, 11), coefficients(HASHES, 12)
 
 
@@ -121,24 +122,48 @@ def _confirmed(n: int, percent: int):
     return run
 
 
-def _across(least: float):
-    """Of one block pair of a bucket: pairs in different components that sizes and signatures allow."""
+def _with_sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [x.tobytes() for x in _sets(batch.column(1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _across(percent: int):
+    """Of one block pair of a bucket: links that join different components, a spanning forest of them."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("node", ignore_index=True)
-        sign = np.stack([np.frombuffer(s, np.uint16) for s in d["sign"]]) if len(d) else np.zeros((0, HASHES), np.uint16)
-        size, comp, block = d["n"].to_numpy(), pd.factorize(d["comp"])[0], d["block"].to_numpy()
+        size = d["shingles"].str.len().to_numpy() // 8
+        first = np.cumsum(size) - size
+        values, ids = np.unique(np.frombuffer(b"".join(d["shingles"]), U), return_inverse=True)
+        comp, block, bands = pd.factorize(d["comp"])[0], d["block"].to_numpy(), np.stack(d["bands"])
+        band = int(np.flatnonzero(bands[0] == d["bucket"].iloc[0])[0])
         one = d["i"].iloc[0] == d["j"].iloc[0]
+        inside = np.zeros(len(values), np.uint8)
         a, b = [], []
         for k in range(len(d) - 1):
             rest = slice(k + 1, None)
-            may = (comp[rest] != comp[k]) & (np.maximum(size[rest], size[k]) * least <= np.minimum(size[rest], size[k]) + 1e-9)
+            may = (comp[rest] != comp[k]) & (percent * np.maximum(size[rest], size[k]) <= 100 * np.minimum(size[rest], size[k]))
             if not one:
                 may &= block[rest] != block[k]
             at = np.flatnonzero(may) + k + 1
-            at = at[np.mean(sign[at] == sign[k], axis=1) >= least - MARGIN] if len(at) else at
-            a += [d["node"][k]] * len(at)
-            b += [d["node"][x] for x in at]
+            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]  # pairs that share an earlier bucket are tried there
+            if not len(at):
+                continue
+            own = ids[first[k] : first[k] + size[k]]
+            inside[own] = 1
+            if 4 * size[at].sum() < len(ids):
+                both = np.array([inside[ids[first[x] : first[x] + size[x]]].sum(dtype=np.int64) for x in at])
+            else:
+                both = np.add.reduceat(inside[ids], first, dtype=np.int64)[at]
+            inside[own] = 0
+            for x in at[100 * both >= percent * (size[k] + size[at] - both)]:
+                if comp[x] != comp[k]:
+                    comp[comp == comp[x]] = comp[k]
+                    a.append(d["node"][k]), b.append(d["node"][x])
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -149,7 +174,7 @@ def near_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     spark = classes.sparkSession
     least = percent / 100
     member = classes.select("node", F.explode("bands").alias("bucket"))
-    head = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
+    head = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     member = written(member.join(head, "bucket"), "members", spark)
     slim = classes.select("node", "n", "sign")
     # one text of each class that shares a bucket
@@ -170,15 +195,17 @@ def near_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     comp = written(components(links), "components", spark)
 
     # second pass: buckets that still hold several components
-    member = member.join(comp, "node", "left").select("bucket", "node", "members", F.coalesce("component", "node").alias("comp"))
-    mixed = member.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j")))
-    dealt = member.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("bucket", "node", "comp", "block", "pair.i", "pair.j").join(slim, "node")
-    pairs = dealt.groupBy("bucket", "i", "j").applyInPandas(_across(least), "a binary, b binary").distinct()
-    more = written(confirm(pairs), "links", spark)
+    member = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    size = slim.select("node", "n")
+    mixed = member.join(size, "node").groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members"), F.sum("n").alias("total")).where("x <> y")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / SHINGLES)).cast("int")
+    member = member.join(mixed.select("bucket", blocks.alias("blocks")), "bucket")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    dealt = written(member.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("bucket", "node", "comp", "block", "pair.i", "pair.j"), "dealt", spark)
+    sets = texts.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_with_sets(n), "node binary, shingles binary")
+    pairs = dealt.join(sets, "node").join(classes.select("node", "bands"), "node").groupBy("bucket", "i", "j").applyInPandas(_across(percent), "a binary, b binary")
+    more = written(pairs, "links", spark)
     if more.isEmpty():
         return comp
     out = written(components(links.union(more)), "components", spark)
