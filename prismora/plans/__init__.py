@@ -1 +1,3 @@
+"""Query plans; importing it registers every query."""
 
+from . import catalogue, series_queries
