@@ -1,0 +1,220 @@
+"""Raw text spectra, alone or in (nested) ZIP archives: one row per spectrum, and one failure row per unreadable file.
+
+Files are read by Spark's binaryFile source, so any store works; each file is parsed in one task, files in parallel.
+The first layout that yields a spectrum wins: key-value header with pairs, then pairs, then tables (long, one row per
+spectrum, or one column per spectrum).
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+# Names and patterns of the file formats.
+WAVELENGTH_COLUMNS = ("wavelength", "wavelength_nm", "lambda", "wl", "wvl")
+VALUE_COLUMNS = ("r", "reflectance", "value", "y", "response")
+SAMPLE_COLUMNS = (
+    "sample_name", "name", "spectra", "spectrum", "spectralsampleid", "spectralsamplecode", "observation_id", "id_prog_spectrum",
+    "id_spectrum_original", "sample_id", "id_unique", "index", "uniqueid", "id", "polygon_unit_id",
+)
+LABELS = (r"(?:x|wl|nm_)?(\d+(?:\.\d+)?)", r"spc\.?(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*(?:nm|nanometers?)?")
+TOKEN = r"(?<!\d)(\d{3,4}(?:\.\d+)?)(?!\d)"
+MISSING = ("", "na", "nan", "n/a", "null", "none")
+
+SCHEMA = "input_path string, parser string, sample_name string, wavelengths_nm array<double>, values array<double>, metadata map<string,string>, value_scale_hint double, reason string"
+TEXT_SUFFIXES = (".txt", ".tab", ".csv")
+
+
+@dataclass
+class Spectrum:
+    parser: str
+    sample_name: str
+    wavelengths_nm: list[float]
+    values: list[float]
+    metadata: dict[str, str] = field(default_factory=dict)
+    value_scale_hint: float | None = None
+
+
+def bare(cell: str) -> str:
+    return cell.strip().strip("\"'")
+
+
+def number(cell: str) -> float | None:
+    s = bare(cell).removesuffix("%").strip()
+    if s.lower() in MISSING:
+        return None
+    try:
+        return float(s if "." in s else s.replace(",", "."))
+    except ValueError:
+        return None
+
+
+def wavelength(label: str) -> float | None:
+    """The wavelength a header cell names, 100 to 3000 nm: the whole label, or else its last number of 3 or 4 digits."""
+    s = bare(label)
+    whole = [m[1] for p in LABELS if (m := re.fullmatch(p, s, re.I))]
+    return next((w for w in map(float, whole + re.findall(TOKEN, s)[::-1]) if 100 <= w <= 3000), None)
+
+
+def decoded(content: bytes) -> str:
+    for encoding in ("utf-8-sig", "latin-1"):
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return ""
+
+
+def nanometres(w: list[float], unit: str) -> list[float]:
+    u, top = unit.lower(), max(w)
+    factor = 1e3 if "micro" in u else 1.0 if "nano" in u or u == "nm" else 1e9 if u in ("m", "meter", "meters") or top <= 1e-5 else 1e3 if top <= 10 else 1.0
+    return [x * factor for x in w]
+
+
+def pairs_of(lines: list[str]) -> list[tuple[float, float]]:
+    rows = ([c for c in re.split(r"[\s,;]+", s.strip()) if c] for s in lines)
+    read = ((number(r[0]), number(r[1])) for r in rows if len(r) >= 2)
+    return [p for p in read if None not in p]
+
+
+def keyed(lines: list[str], stem: str) -> list[Spectrum]:
+    """`key: value` lines, a blank line, then wavelength and value."""
+    start = next((i for i, s in enumerate(lines) if ":" in s), len(lines))
+    end = next((i for i in range(start, len(lines)) if not lines[i].strip()), len(lines))
+    meta = {k.strip(): v.strip() for k, _, v in (s.partition(":") for s in lines[start:end] if ":" in s)}
+    found = pairs_of(lines[end:])
+    if not meta or not found:
+        return []
+    w, v = map(list, zip(*found))
+    return [Spectrum("keyed_text", meta.get("Name", stem), nanometres(w, meta.get("X Units", "")), v, meta, 100.0 if "percent" in meta.get("Y Units", "").lower() else None)]
+
+
+def cells_of(lines: list[str]) -> list[list[str]]:
+    head = "\n".join(lines[:40])
+    mark = max(",;\t", key=head.count)
+    return [[bare(c) for c in s.split(mark)] for s in lines if s.strip()]
+
+
+def tabular(lines: list[str], stem: str) -> list[Spectrum]:
+    rows = cells_of(lines)
+    names_axis = lambda c: c.lower() in WAVELENGTH_COLUMNS or c.lower().startswith("wavelength")
+    at = next((i for i, r in enumerate(rows[:80]) if any(map(names_axis, r)) or sum(wavelength(c) is not None for c in r) >= 3), None)
+    if at is None:
+        return []
+    header, body = rows[at], [r + [""] * (len(rows[at]) - len(r)) for r in rows[at + 1 :]]
+    low = [c.lower() for c in header]
+    sample = next((low.index(c) for c in SAMPLE_COLUMNS if c in low), None)
+    axis = next((i for i, c in enumerate(header) if names_axis(c)), None)
+    value = next((low.index(c) for c in VALUE_COLUMNS if c in low), None)
+    if axis is not None and value is not None and sample is not None:  # runs of equal samples are spectra
+        out = []
+        for name, run in groupby(body, key=lambda r: r[sample]):
+            points = [p for p in ((number(r[axis]), number(r[value])) for r in run) if None not in p]
+            if len(points) >= 2:
+                out.append(Spectrum("table_long", name or stem, *map(list, zip(*points))))
+        return out
+    if axis is not None:  # one column per spectrum
+        out = []
+        for i, name in enumerate(header):
+            points = [p for p in ((number(r[axis]), number(r[i])) for r in body) if None not in p] if i != axis else []
+            if len(points) >= 2:
+                out.append(Spectrum("table_columns", name or stem, nanometres([p[0] for p in points], ""), [p[1] for p in points]))
+        return out
+    bands = [(i, w) for i, c in enumerate(header) if (w := wavelength(c)) is not None]
+    other = [i for i in range(len(header)) if i not in dict(bands)]
+    out = []
+    for k, r in enumerate(body):
+        points = [(w, v) for i, w in bands if (v := number(r[i])) is not None]
+        if len(points) >= 2:
+            name = (r[sample] if sample is not None else "") or next((r[i] for i in other if r[i]), "") or f"spectrum_{k + 1:05d}"
+            out.append(Spectrum("table_rows", name, *map(list, zip(*points)), {header[i]: r[i] for i in other}))
+    return out
+
+
+def parsed(content: bytes, path: str) -> list[Spectrum]:
+    text = re.sub(r"/\*.*?\*/", "", decoded(content), flags=re.S)
+    lines = [s for s in text.splitlines() if not s.lstrip().startswith("#")]
+    stem = re.sub(r"\.[^.]*$", "", re.split(r"/|::", path)[-1])
+    plain = [s for s in lines if s.strip()]
+    found = keyed(lines, stem)
+    if not found and plain and len(cells_of(plain[:1])[0]) <= 2 and len(plain) >= 3:
+        points = pairs_of(plain)
+        if len(points) >= max(2, len(plain) - 5):
+            w, v = map(list, zip(*points))
+            found = [Spectrum("pairs_text", stem, nanometres(w, ""), v)]
+    return found or tabular(lines, stem)
+
+
+def members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    if not path.lower().endswith(".zip"):
+        yield path, content
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for info in sorted(z.infolist(), key=lambda i: i.filename):
+            if not info.is_dir() and info.filename.lower().endswith((*TEXT_SUFFIXES, ".zip")):
+                yield from members(f"{path}::{info.filename}", z.read(info))
+
+
+def _rows(path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        for at, data in members(path, content):
+            found = parsed(data, at) if at.lower().endswith(TEXT_SUFFIXES) else []
+            for s in found:
+                yield at, s.parser, s.sample_name, s.wavelengths_nm, s.values, s.metadata, s.value_scale_hint, None
+            if not found:
+                yield at, None, None, None, None, None, None, "no spectra found"
+    except zipfile.BadZipFile as e:
+        yield path, None, None, None, None, None, None, str(e)
+
+
+def read_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Columns of SCHEMA for every file under the path; `reason` is set where a file gave no spectrum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for at, content in zip(d["path"], d["content"]):
+                yield pd.DataFrame(list(_rows(at, content)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def scale_of(values: np.ndarray, hint: float | None) -> float:
+    if hint is not None and hint > 0:
+        return hint
+    top = np.nanmax(np.abs(values))
+    return next((s for limit, s in ((1.5, 1.0), (100.5, 100.0), (1000.5, 1000.0), (20000.5, 10000.0)) if top <= limit), 1.0)
+
+
+def on_grid(spectra: DataFrame, low: int = 400, high: int = 2500) -> DataFrame:
+    """input_path, sample_name, values on the 1 nm grid (null outside the native range), normalized_points.
+
+    Pairs that aren't finite go, of equal wavelengths the last value stays, values are divided by their scale.
+    Spectra with fewer than two wavelengths are dropped.
+    """
+    grid = np.arange(low, high + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for path, name, w, v, hint in d.itertuples(index=False):
+                last = {a: b for a, b in zip(w, v) if a is not None and b is not None and np.isfinite(a) and np.isfinite(b)}
+                if len(last) < 2:
+                    continue
+                x = np.array(sorted(last))
+                y = np.array([last[a] for a in x])
+                y = np.interp(grid, x, y / scale_of(y, None if pd.isna(hint) else hint))
+                inside = (grid >= x[0]) & (grid <= x[-1])
+                out.append((path, name, [float(a) if ok else None for a, ok in zip(y, inside)], int(inside.sum())))
+            yield pd.DataFrame(out, columns=["input_path", "sample_name", "values", "normalized_points"])
+
+    known = spectra.where("reason is null").select("input_path", "sample_name", "wavelengths_nm", "values", "value_scale_hint")
+    return known.mapInPandas(run, "input_path string, sample_name string, values array<double>, normalized_points long")
