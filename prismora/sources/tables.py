@@ -1,0 +1,67 @@
+"""Tabular inputs and result sinks: manifests, typed CSV, queries (long or wide), sensors, fetch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.series import parse_flag, parse_number
+
+SENSOR = (
+    "sensor_id string, bands array<struct<band_id:string, response_definition:struct<kind:string, wavelength_nm:array<double>, response:array<double>, center_wavelength_nm:double, fwhm_nm:double>,"
+    " extensions:struct<spectral_library:struct<segment:string>>>>"
+)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Every field as stripped text, missing ones empty."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select([F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in rows.columns])
+
+
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+
+
+def read_sensors(spark: SparkSession, path: str) -> DataFrame:
+    """One row per band; a band without a segment gets it from its center, below 1000 nm vnir."""
+    files = spark.read.schema(SENSOR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    band = files.select("sensor_id", F.posexplode("bands").alias("band_index", "b"))
+    r = F.col("b.response_definition")
+    kept = F.filter(F.arrays_zip(r["wavelength_nm"].alias("w"), r["response"].alias("r")), lambda p: p["r"] > 0)
+    total = F.aggregate(kept, F.lit(0.0), lambda s, p: s + p["r"])
+    center = F.coalesce(r["center_wavelength_nm"], F.aggregate(kept, F.lit(0.0), lambda s, p: s + p["w"] * p["r"]) / F.nullif(total, F.lit(0.0)))
+    rows = band.select("sensor_id", "band_index", F.col("b.band_id").alias("band_id"), r["wavelength_nm"].alias("wavelength_nm"), r["response"].alias("rsr"), center.alias("center_nm"), r["fwhm_nm"].alias("fwhm_nm"), F.col("b.extensions.spectral_library.segment").alias("segment"))
+    return rows.withColumn("segment", F.coalesce("segment", F.when(F.col("center_nm") < 1000, "vnir").otherwise("swir")))
+
+
+def read_queries(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
+    """sample_id, exclude_row_id, values and valid in the order of bands, of a long or wide table.
+
+    It is long if it has sample_id, band_id and reflectance. A blank flag is valid; a value that is missing isn't.
+    """
+    rows = read_manifest(spark, path)
+    own = F.col("exclude_row_id") if "exclude_row_id" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("exclude_row_id", F.nullif(own, F.lit("")))
+    if {"sample_id", "band_id", "reflectance"} <= set(rows.columns):
+        flag = parse_flag(F.col("valid")) if "valid" in rows.columns else F.lit(True)
+        cell = F.struct(parse_number(F.col("reflectance")).alias("v"), flag.alias("ok"))
+        wide = rows.where(F.col("band_id").isin(bands)).groupBy("sample_id").agg(F.max("exclude_row_id").alias("exclude_row_id"), *[F.max(F.when(F.col("band_id") == b, cell)).alias(f"_{i}") for i, b in enumerate(bands)])
+        value, ok = [F.col(f"_{i}.v") for i in range(len(bands))], [F.col(f"_{i}.ok") for i in range(len(bands))]
+    else:
+        wide = rows if "sample_id" in rows.columns else rows.withColumn("sample_id", F.lit("sample_000001"))
+        value = [parse_number(F.col(f"`{b}`")) for b in bands]
+        ok = [parse_flag(F.col(f"`valid_{b}`")) if f"valid_{b}" in rows.columns else F.lit(True) for b in bands]
+    return wide.select("sample_id", "exclude_row_id", F.array(*value).alias("values"), F.array(*[F.coalesce(o & v.isNotNull(), F.lit(False)) for v, o in zip(value, ok)]).alias("valid"))
+
+
+def read_fetch_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Fetch results with one row per artifact; results without artifacts stay with a null one."""
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "fetch-result.json").json(path)
+    return files.withColumn("artifact", F.explode_outer("artifacts")).drop("artifacts")
+
+
+def write_results(df: DataFrame, path: str, names: list[str], column: str = "values") -> None:
+    """Wide CSV, a column per name, blank where the value is null or NaN."""
+    cells = [F.nullif(F.get(column, F.lit(i)), F.lit(float("nan"))).alias(n) for i, n in enumerate(names)]
+    df.select("sample_id", *cells).write.mode("overwrite").option("header", True).csv(path)

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from prismora.sources import tables
 from prismora.sources import text_spectra as T
 
 KEYED = "Name: Granite\nX Units: Wavelength (micrometers)\nY Units: Reflectance (percent)\n\n0.4 10\n0.5 20\n"
@@ -39,3 +40,19 @@ def test_read_and_resample(spark, tmp_path):
     grid = {r.sample_name: r for r in T.on_grid(rows).collect()}
     assert grid["soil"].normalized_points == 2 and grid["soil"]["values"][:3] == [0.1, 0.2, None]
     assert grid["Granite"]["values"][50] == pytest.approx(0.15) and len(grid["Granite"]["values"]) == 2101
+
+
+def test_queries_long_equal_wide(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("sample_id,exclude_row_id,blue,swir,valid_swir\nalpha,s:a:a,0.8,0.2,true\nbeta,,0.8,0.9,false\n")
+    (tmp_path / "l.csv").write_text("sample_id,band_id,reflectance,valid,exclude_row_id\nalpha,blue,0.8,,s:a:a\nbeta,blue,0.8,,\nalpha,swir,0.2,yes,s:a:a\nbeta,swir,0.9,0,\n")
+    wide, long = (sorted(map(tuple, tables.read_queries(spark, str(tmp_path / f), ["blue", "swir"]).collect())) for f in ("w.csv", "l.csv"))
+    assert wide == long == [("alpha", "s:a:a", [0.8, 0.2], [True, True]), ("beta", None, [0.8, 0.9], [True, False])]
+    rows = spark.createDataFrame([("a", [1.0, float("nan")])], "sample_id string, values array<double>")
+    tables.write_results(rows, str(tmp_path / "out"), ["x", "y"])
+    assert [tuple(r) for r in tables.read_manifest(spark, str(tmp_path / "out")).collect()] == [("a", "1.0", "")]
+
+
+def test_sensors(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"sensor_id": "s", "bands": [{"band_id": "blue", "response_definition": {"kind": "sampled", "wavelength_nm": [445, 450, 455], "response": [0.2, 1.0, 0.2]}},\n{"band_id": "far", "response_definition": {"kind": "band_spec", "center_wavelength_nm": 1600, "fwhm_nm": 20}}]}')
+    rows = tables.read_sensors(spark, str(tmp_path)).orderBy("band_index").collect()
+    assert [(r.band_id, r.segment) for r in rows] == [("blue", "vnir"), ("far", "swir")] and rows[0].center_nm == pytest.approx(450)
