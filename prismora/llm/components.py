@@ -26,21 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Does every node hang on one smaller node, which hangs on none? Then each component is one star."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("end")).select("end.*")
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node. edges: columns a, b.
 
     Nulls, loops and repeated edges are ignored; an empty table gives an empty result.
     """
-    now = written(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "edges")
-    state = None
+    down = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(down.distinct(), "edges")
     for _ in range(max_rounds):
-        after = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
-        discard(now)
-        now = after
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == state:
+        if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        state = seen
+        after = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(now)
+        now = after
     raise RuntimeError("components did not settle")

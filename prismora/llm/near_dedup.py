@@ -7,7 +7,8 @@
 4. The links found are joined to components by alternating large-star and small-star.
 5. Second pass: buckets that still hold several components are dealt out in block pairs with the full shingle sets.
    A block pair tries every pair across components, in the first bucket that the pair shares, and gives the links of a
-   spanning forest only: no more rows than members, and no link between components is lost.
+   spanning forest only, as pairs of components: no more rows than members, and no link between components is lost.
+6. The components so linked are joined once more by the two stars.
 In the first pass a candidate is dropped early only where sizes or the signature exclude the threshold; all links are
 confirmed on full shingle sets. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^6)^40 = 5e-6.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, written
+from .shared import written
 from .text import U, coefficients, mix, ngram_hashes, shingles, slices, split_words, word_hashes
 
 BANDS, ROWS = 40, 6
@@ -132,14 +133,15 @@ def _with_sets(n: int):
 
 
 def _across(percent: int):
-    """Of one block pair of a bucket: links that join different components, a spanning forest of them."""
+    """Of one block pair of a bucket: pairs of components that a link joins, a spanning forest of them."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("node", ignore_index=True)
         size = d["shingles"].str.len().to_numpy() // 8
         first = np.cumsum(size) - size
         values, ids = np.unique(np.frombuffer(b"".join(d["shingles"]), U), return_inverse=True)
-        comp, block, bands = pd.factorize(d["comp"])[0], d["block"].to_numpy(), np.stack(d["bands"])
+        name, block, bands = d["comp"].to_numpy(), d["block"].to_numpy(), np.stack(d["bands"])
+        comp = pd.factorize(name)[0]
         band = int(np.flatnonzero(bands[0] == d["bucket"].iloc[0])[0])
         one = d["i"].iloc[0] == d["j"].iloc[0]
         inside = np.zeros(len(values), np.uint8)
@@ -163,7 +165,7 @@ def _across(percent: int):
             for x in at[100 * both >= percent * (size[k] + size[at] - both)]:
                 if comp[x] != comp[k]:
                     comp[comp == comp[x]] = comp[k]
-                    a.append(d["node"][k]), b.append(d["node"][x])
+                    a.append(name[k]), b.append(name[x])
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -208,9 +210,10 @@ def near_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     more = written(pairs, "links", spark)
     if more.isEmpty():
         return comp
-    out = written(components(links.union(more)), "components", spark)
-    discard(comp)
-    return out
+    moved = written(components(more), "components", spark)
+    grown = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    fresh = moved.join(comp.select("node"), "node", "left_anti")
+    return written(grown.select("node", F.coalesce("to", "component").alias("component")).union(fresh.select("node", "component")), "components", spark)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
