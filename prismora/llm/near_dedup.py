@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,26 +136,29 @@ def _with_sets(n: int):
 def _across(percent: int):
     """Of one block pair of a bucket: pairs of components that a link joins, a spanning forest of them."""
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("node", ignore_index=True)
-        size = d["shingles"].str.len().to_numpy() // 8
+    def run(d: pa.Table) -> pa.Table:
+        d = d.take(pc.sort_indices(d, [("node", "ascending")])).combine_chunks()
+        name, sets = d.column("comp").to_pylist(), d.column("shingles").combine_chunks()
+        comp = d.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).copy()
+        size, block = pc.binary_length(sets).to_numpy() // 8, d.column("block").to_numpy()
+        bands = d.column("bands").combine_chunks().flatten().to_numpy().reshape(len(size), BANDS)
+        earlier = bands[:, : np.flatnonzero(bands[0] == d.column("bucket")[0].as_py())[0]]
+        one = d.column("i")[0].as_py() == d.column("j")[0].as_py()
         first = np.cumsum(size) - size
-        values, ids = np.unique(np.frombuffer(b"".join(d["shingles"]), U), return_inverse=True)
-        name, block, bands = d["comp"].to_numpy(), d["block"].to_numpy(), np.stack(d["bands"])
-        comp = pd.factorize(name)[0]
-        band = int(np.flatnonzero(bands[0] == d["bucket"].iloc[0])[0])
-        one = d["i"].iloc[0] == d["j"].iloc[0]
-        inside = np.zeros(len(values), np.uint8)
+        ids = inside = None
         a, b = [], []
-        for k in range(len(d) - 1):
+        for k in range(len(size) - 1):
             rest = slice(k + 1, None)
             may = (comp[rest] != comp[k]) & (percent * np.maximum(size[rest], size[k]) <= 100 * np.minimum(size[rest], size[k]))
             if not one:
                 may &= block[rest] != block[k]
             at = np.flatnonzero(may) + k + 1
-            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]  # pairs that share an earlier bucket are tried there
+            at = at[~(earlier[at] == earlier[k]).any(axis=1)]  # pairs that share an earlier bucket are tried there
             if not len(at):
                 continue
+            if ids is None:  # many groups have no such pair
+                values, ids = np.unique(np.frombuffer(b"".join(sets.to_pylist()), U), return_inverse=True)
+                inside = np.zeros(len(values), np.uint8)
             own = ids[first[k] : first[k] + size[k]]
             inside[own] = 1
             if 4 * size[at].sum() < len(ids):
@@ -166,7 +170,7 @@ def _across(percent: int):
                 if comp[x] != comp[k]:
                     comp[comp == comp[x]] = comp[k]
                     a.append(name[k]), b.append(name[x])
-        return pd.DataFrame({"a": a, "b": b})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -206,7 +210,7 @@ def near_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     dealt = written(member.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("bucket", "node", "comp", "block", "pair.i", "pair.j"), "dealt", spark)
     sets = texts.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_with_sets(n), "node binary, shingles binary")
-    pairs = dealt.join(sets, "node").join(classes.select("node", "bands"), "node").groupBy("bucket", "i", "j").applyInPandas(_across(percent), "a binary, b binary")
+    pairs = dealt.join(sets, "node").join(classes.select("node", "bands"), "node").groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a binary, b binary")
     more = written(pairs, "links", spark)
     if more.isEmpty():
         return comp
