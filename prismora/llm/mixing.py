@@ -28,7 +28,7 @@ from .text import U, mix
 
 BLOCK_WORDS = 64
 BUCKET_ROWS = 20_000
-SHARD_BLOCKS = 200_000
+SHARD_WORDS = 4_000_000  # words in a shard on average, whether blocks or whole documents are dealt
 
 
 def word_count(text: Column) -> Column:
@@ -155,7 +155,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     placed = written(placed, "placed", spark)
 
     quotas = [s.passes * s.blocks + s.drawn for s in sources]
-    shards = shards or max(1, math.ceil(sum(quotas) / SHARD_BLOCKS))
+    shards = shards or max(1, math.ceil(sum(s.target for s in sources) / SHARD_WORDS))
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
     info = {s.source: (s.blocks, s.passes, s.drawn, s.first) for s in sources}
     draw = _draw(info, ends, block_words, seed)
