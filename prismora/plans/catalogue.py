@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators as E
 from ..operators.knn import knn
+from ..streaming.mapping import map_stream, shared_folder
 
 K = 5
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,17 @@ def knn_excluded(spark, sf_dir):
     return neighbors(spark, sf_dir).withColumn("distance", r6("distance"))
 
 
+@query("with " + _knn_sql() + _POS + " select query_id, pos::bigint as pos, round(avg(v), 6) as value from nb join lib using (row_id) group by all")
+def streamed_mapping(spark, sf_dir):
+    """The embeddings file as a stream, mapped a chunk at a time; the query's own row is not left out."""
+    rows = table(spark, sf_dir, "embeddings")
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    stream = stream.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(None).cast("array<boolean>").alias("valid"))
+    folder = shared_folder(spark)
+    map_stream(stream, library(spark, sf_dir), f"{folder}/rows", f"{folder}/checkpoint", K).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("query_id", "pos", r6("value").alias("value"))
+
+
 @query(_NB + _POS + " select query_id, pos::bigint as pos, round(avg(v), 6) as value from nb join lib using (row_id) group by all")
 def neighbors_mean(spark, sf_dir):
     return E.reconstruct(E.mean_weights(neighbors(spark, sf_dir)), library(spark, sf_dir)).withColumn("value", r6("value"))
