@@ -15,6 +15,7 @@ null sources are a source, last in order; an empty table gives an empty result;
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shared_dir, written
 from .text import U, mix
 
 BLOCK_WORDS = 64
@@ -189,10 +190,39 @@ def _draw(info: dict, ends: np.ndarray, unit: int | None, seed: int):
     return run
 
 
+def block_texts(text: Column, block_words: int | None) -> Column:
+    """Array of the text's blocks: each from its first word to before the first word of the next."""
+    if not block_words:
+        return F.array(text)
+    return F.regexp_extract_all(text, F.lit(r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,%d}+" % block_words), F.lit(0))
+
+
+def write_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int | None = BLOCK_WORDS, **options) -> tuple[DataFrame, DataFrame, list[Source]]:
+    """(mix, documents, sources): the mix written as one folder a shard, its rows in the shard's order, and read back.
+
+    mix: doc_id, source, start (of the document), block, slot, text (of the block), shard.
+    """
+    placed, taken, sources = draws(docs, id_col, text_col, block_words=block_words, **options)
+    spark = docs.sparkSession
+    drawn = taken.groupBy(F.col("source").alias("s"), F.col("start").alias("a")).agg(F.collect_list(F.struct("block", "shard", "slot")).alias("draws"))
+    drawn = placed.where("blocks > 0").join(drawn, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("a")))
+    # plain equality on keys without nulls, so that texts move once
+    drawn = drawn.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.col("text_key").alias("k"), "doc_id", "source", "start", "draws")
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("none"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
+    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy("i", "none", "k").orderBy("i"))).where("nth = 1").drop("nth")  # equal rows stand for each other
+    cut = lambda t: F.transform("draws", lambda d: F.struct(d["block"].alias("block"), d["shard"].alias("shard"), d["slot"].alias("slot"), F.get(t, d["block"].cast("int")).alias("text")))
+    blocks = F.transform(F.array(block_texts(F.col("text"), block_words)), cut)[0]  # inside transform(array()), so that a text is cut once
+    out = one.join(drawn, ["i", "none", "k"]).select("doc_id", "source", "start", F.inline(blocks))
+    path = f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    names = ["doc_id", "source", "start", "block", "slot", "text", "shard"]
+    return spark.read.schema(out.select(*names).schema).parquet(path), placed, sources
+
+
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    placed, taken, sources = draws(docs, **options)
-    taken = taken.groupBy(F.col("source").alias("s"), F.col("start").alias("a")).agg(F.sum("words").alias("taken"))
+    """One row per document: doc_id, size, source_size, target (its source's), taken (words in the written mix, repeats counted)."""
+    mix, placed, sources = write_mix(docs, **options)
+    taken = mix.groupBy(F.col("source").alias("s"), F.col("start").alias("a")).agg(F.sum(word_count(F.col("text"))).alias("taken"))
     rows = placed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("a")) & (F.col("blocks") > 0), "left")
     about = docs.sparkSession.createDataFrame([(s.source, s.size, float(s.target)) for s in sources], "t string, source_size long, target double")
     rows = rows.join(about, F.col("source").eqNullSafe(F.col("t")))

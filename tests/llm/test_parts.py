@@ -144,3 +144,26 @@ def test_long_pieces(word):
     coder = bpe.coder(path, pattern)
     assert bpe._contract(word[:20].encode()[:60], coder.table) == coder.encode_words([word[:20].encode()[:60]])[0]
     assert coder.encode_words([word.encode()])[0] == rank_encoder(path, pattern).encode_ordinary(word)
+
+
+def test_mix_is_written_block_by_block(spark):
+    rows = [(k, " \n" * (k % 3) + "\t ".join(f"d{k}w{j}é" for j in range(k % 300)), "ab"[k % 2]) for k in range(120)] + [(None, "x y z", None), (5, None, "a"), (7, "same text", "a"), (7, "same text", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix, placed, _ = mixing.write_mix(docs, shards=3)
+    at = {(r.source, r.start): r for r in placed.where("blocks > 0").collect()}
+    text = {(i, s): (t or "").split() for i, t, s in rows[:120]}
+    parts = mix.collect()
+    assert {r.shard for r in parts} == {0, 1, 2}
+    for r in parts:
+        d = at[r.source, r.start]
+        assert d.doc_id == r.doc_id and len(r.text.split()) == min(64, d["size"] - 64 * r.block)
+        if (r.doc_id, r.source) in text and r.doc_id != 7:
+            assert r.text.split() == text[r.doc_id, r.source][64 * r.block : 64 * r.block + 64]
+    for shard in range(3):  # files hold their rows in the order of the shard
+        slots = [r.slot for r in parts if r.shard == shard]
+        assert slots == sorted(slots) and len(slots) > 1
+    sums = {}
+    for r in parts:
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + len(r.text.split())
+    for r in mixing.mix_sizes(docs, shards=3).groupBy("doc_id").sum("taken").collect():
+        assert r[1] == sums.get(r.doc_id, 0)
