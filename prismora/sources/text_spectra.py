@@ -114,6 +114,10 @@ def tabular(lines: list[str], stem: str) -> list[Spectrum]:
     sample = next((low.index(c) for c in SAMPLE_COLUMNS if c in low), None)
     axis = next((i for i, c in enumerate(header) if names_axis(c)), None)
     value = next((low.index(c) for c in VALUE_COLUMNS if c in low), None)
+    if axis == 0 and sum(wavelength(c) is not None for c in header[1:]) >= 3:  # header of two rows: names, then the axis' name and the wavelengths
+        names = rows[at - 1] if at else [""]
+        header = ["sample_name" if not names[0] or names_axis(names[0]) else names[0], *header[1:]]
+        sample, axis = 0, None
     if axis is not None and value is not None and sample is not None:  # runs of equal samples are spectra
         out = []
         for name, run in groupby(body, key=lambda r: r[sample]):

@@ -28,6 +28,13 @@ def test_layouts():
     assert T.parsed(b"", "e.txt") == [] and [s.parser for s in T.parsed(b"400 1\n401 2\n402 3\n", "p.txt")] == ["pairs_text"]
 
 
+def test_two_row_headers():
+    (s,) = T.parsed(b"index,spectra,,,\nlambda,350,351,352\nA001,0.1,0.2,0.3\n", "two_row.csv")  # the reference's example
+    assert (s.parser, s.sample_name, s.wavelengths_nm, s.values) == ("table_rows", "A001", [350, 351, 352], [0.1, 0.2, 0.3])
+    a, b = T.parsed(b"index,spectra,,,\nlambda,350,351,352\n1001,0.1,0.2,0.3\n1002,0.4,,0.6\n", "numbers.csv")
+    assert (a.sample_name, a.values) == ("1001", [0.1, 0.2, 0.3]) and (b.sample_name, b.wavelengths_nm, b.values) == ("1002", [350, 352], [0.4, 0.6])
+
+
 def test_read_and_resample(spark, tmp_path):
     (tmp_path / "k.txt").write_text(KEYED)
     (tmp_path / "bad.zip").write_bytes(b"no archive")
