@@ -1,12 +1,14 @@
 """Secret scans with DataFrame functions only.
 
-Base spans come from three patterns. The method adds spans of random-looking strings: candidates are runs of encoding
-characters; the encoding of each (hexadecimal, base 32, base 64) is inferred from its characters; a chi-squared test of
-alphabet uniformity, a runs test about the alphabet's middle and a lag-1 serial correlation test measure how far it is
-from random. Ordinary text is far from random by at least a fixed effect per character, so each test gives a p-value
-of "at least that far" that falls with length: short strings can't pass. The largest of the three is the candidate's
-p-value (all three must hold); the false-discovery rate over all candidates of the corpus is controlled by the
+Base spans come from three patterns. The method adds spans of random-looking strings: candidates are all runs of 16 or
+more encoding characters, whatever they hold; the encoding of each (decimal, hexadecimal, base 32, base 36, one case or
+both cases of letters, base 62, base 64) is the narrowest alphabet that holds its characters. A chi-squared test of
+alphabet uniformity, a runs test of character classes and a lag-1 serial correlation test measure how far it is from
+random. Their discriminant is held against its distribution on ordinary text of the encoding and length, as measured in
+ordinary.py, which gives the p-value of "ordinary text". A run whose runs or correlation miss random by a fixed effect
+is patterned, not random, and gets 1. The false-discovery rate over all candidates of the corpus is controlled by the
 Benjamini-Hochberg step-up on p-values in bins of a tenth of log10, so that no ranking of all rows is needed.
+Long random digits of another use, such as card numbers, can't be told from keys.
 
 Null texts count as empty and have no spans; repeated rows get equal spans; an empty table gives an empty result.
 """
@@ -16,21 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinary import ALPHABETS, LENGTHS, classes, switching
+from .ordinary_nulls import NULLS
 from .shared import written
 
 # The patterns of the base spans.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the maximal run after the first AKIA: 16 characters or more in all
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ["assign", "access", "hex", "random"]
 RATE = 0.05
-#: Least departure of ordinary text from random: chi-squared a character, as a share of the alphabet; runs, as a share of
-#: their expected number; correlation.
-FAR_CHI, FAR_RUNS, FAR_CORRELATION = 0.02, 0.75, 0.75
+#: Departure of patterned text from random, as a share of the expected runs; correlation.
+FAR_RUNS, FAR_CORRELATION = 0.75, 0.75
 #: p-values are counted in bins of a tenth of log10.
 BINS_A_DECADE = 10
-ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
 
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
@@ -61,35 +63,51 @@ def normal_cdf(z: Column) -> Column:
 def encoding(body: Column) -> Column:
     """The narrowest alphabet that holds all characters of the string."""
     return (
-        F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32")
-        .when(body.rlike("[-_]") & ~body.rlike("[+/]"), "base64url").otherwise("base64")
+        F.when(body.rlike("^[0-9]+$"), "decimal").when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[a-z]+$"), "lower").when(body.rlike("^[A-Z]+$"), "upper")
+        .when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[0-9a-z]+$"), "base36").when(body.rlike("^[0-9A-Z]+$"), "BASE36").when(body.rlike("^[A-Za-z]+$"), "letters")
+        .when(body.rlike("^[A-Za-z0-9]+$"), "base62").when(body.rlike("[-_]") & ~body.rlike("[+/]"), "base64url").otherwise("base64")
     )
 
 
+def _table() -> Column:
+    """encoding -> alphabet, classes, switching and the nulls by length."""
+    # numbers as one string a row: hundreds of literals make the plan slow
+    numbers = lambda e: " ".join(str(x) for x in (*switching(e), *[x for n in LENGTHS for x in NULLS[e][n]]))
+    rows = {e: F.struct(F.lit(a).alias("alphabet"), F.lit(classes(e)).alias("classes"), F.lit(numbers(e)).alias("numbers")) for e, a in ALPHABETS.items()}
+    return F.create_map(*[x for e, row in rows.items() for x in (F.lit(e), row)])
+
+
 def p_value(body: Column) -> Column:
-    """p-value against "as far from random as ordinary text", the largest of three tests; 1 where a test is undefined."""
+    """p-value of "ordinary text of this encoding and length"; 1 where the string is patterned or a test is undefined."""
     raw = F.regexp_replace(body, "=+$", "")
-    alphabets = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
-    given = F.struct(raw.alias("raw"), F.element_at(alphabets, encoding(raw)).alias("alphabet"))
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  # computed once, however often f names it
 
-    def battery(g: Column) -> Column:
-        n, k = F.char_length(g["raw"]).cast("double"), F.char_length(g["alphabet"]).cast("double")
+    def placed(g: Column) -> Column:
+        at = F.transform(F.split(g["raw"], ""), lambda c: F.coalesce(F.instr(g["t"]["alphabet"], c), F.lit(0)))
+        return F.struct(g["raw"].alias("raw"), g["t"].alias("t"), at.alias("at"), F.split(g["t"]["numbers"], " ").cast("array<double>").alias("x"), (F.aggregate(at, F.lit(0.0), lambda acc, x: acc + x) / F.size(at)).alias("mean"))
+
+    def measured(g: Column) -> Column:
+        n, k, at, mean = F.char_length(g["raw"]).cast("double"), F.char_length(g["t"]["alphabet"]).cast("double"), g["at"], g["mean"]
         chars = F.split(g["raw"], "")
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(g["raw"], c, F.lit(""))), F.lit(2.0)))
-        chi, far = k / n * squares - n, FAR_CHI * k * n
-        p_chi = normal_cdf((chi - (k - 1 + far)) / F.sqrt(2 * (k - 1 + 2 * far)))
-        at = F.transform(chars, lambda c: F.coalesce(F.instr(g["alphabet"], c), F.lit(0)).cast("double"))
-        half = F.transform(at, lambda x: x > k / 2)
-        runs = 1 + F.aggregate(F.zip_with(F.slice(half, 1, F.size(half) - 1), F.slice(half, 2, F.size(half) - 1), lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-        expected = (n + 1) / 2
-        p_runs = normal_cdf((F.abs(runs - expected) - FAR_RUNS * expected) / (F.sqrt(n - 1) / 2))
-        mean = F.aggregate(at, F.lit(0.0), lambda acc, x: acc + x) / n
+        far_chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1))
+        kinds = F.transform(at, lambda x: F.substr(g["t"]["classes"], x, F.lit(1)))
+        runs = F.aggregate(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
         spread = F.aggregate(at, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
         shared = F.aggregate(F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
-        p_corr = normal_cdf((F.abs(shared / spread) - FAR_CORRELATION) * F.sqrt(n))
-        return F.coalesce(F.greatest(p_chi, p_runs, p_corr), F.lit(1.0))
-
-    return F.transform(F.array(given), battery)[0]
+        row = F.size(F.filter(F.array(*map(F.lit, LENGTHS)), lambda x: x <= n)) - 1
+        return F.struct(n.alias("n"), g["x"].alias("x"), far_chi.alias("far_chi"), runs.alias("runs"), F.abs(shared / F.nullif(spread, F.lit(0.0))).alias("corr"), row.alias("row"))
+
+    def judged(m: Column) -> Column:
+        n, s, both, runs, corr = m["n"], m["x"][0], m["x"][1], m["runs"], m["corr"]
+        null = [F.get(m["x"], 2 + 4 * m["row"] + i) for i in range(4)]
+        far_runs = (runs - (n - 1) * s) / F.sqrt((n - 1) * s * (1 - s) + 2 * (n - 2) * both)
+        z = null[0] * m["far_chi"] + null[1] * far_runs + null[2] * corr * F.sqrt(n) + null[3]
+        patterned = (F.abs(runs - (n - 1) * s) > FAR_RUNS * (n - 1) * s) | (corr > FAR_CORRELATION)
+        return F.coalesce(F.when(patterned, 1.0).otherwise(bound(z, normal_cdf)), F.lit(1.0))
+
+    given = bound(raw, lambda r: F.struct(r.alias("raw"), F.element_at(_table(), encoding(r)).alias("t")))
+    return bound(bound(bound(given, placed), measured), judged)
 
 
 def threshold(p_values: DataFrame, rate: float = RATE) -> float:
