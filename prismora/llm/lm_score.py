@@ -6,30 +6,37 @@ p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). As an automaton: a history seen in tr
 an arc, and the failure arc to the next shorter history weighs mu / (c(h) + mu). One left-to-right traversal of a text
 carries its state and adds up log10 weights.
 
-Nothing needs the whole model in one place. Documents are dealt into chunks; a chunk asks for the counts of the
-n-grams that its own texts can reach, keyed by hash and dealt into buckets that sum all chunks' training counts; the
-answers build the chunk's part of the automaton. What is exchanged grows with the corpus, each task's part does not.
+Nothing needs the whole model in one place. Documents are packed into chunks of bounded size, written once; a chunk
+asks for the counts of the n-grams that its own texts can reach, keyed by hash and dealt into buckets that sum all
+chunks' training counts; the answers build the chunk's part of the automaton. A chunk sends rows only to buckets it
+has n-grams for, so the rows exchanged are at most the chunks' distinct n-grams, and each task's part is bounded but
+for one term: an n-gram found in every chunk gives its bucket one row of each.
 
 Null texts count as empty: one token, the end. A null doc_id counts as the empty string for the split. Repeated rows
-are counted and scored each; an empty table gives an empty result.
+are counted and scored each, and get equal scores; equal probabilities need no tie rule, as a traversal has one path.
+A very long text is a chunk of its own and takes about 100 bytes a token. Further columns are ignored, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import written
-from .text import U, coefficients, mix, split_words, word_hashes
+from .text import U, coefficients, mix, slices, split_words, word_hashes
 
 ORDER = 2
 MU = 4.0
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
+WALK = 1 << 14  # places of a traversal that are Python numbers at a time
 FOLDS, HELD_OUT = 5, 1
 END = mix(np.array([0x454E44], U))[0]
 START = mix(np.array([0x425547], U))[0]
@@ -78,94 +85,120 @@ def _unpacked(body: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a chunk: its documents as a compressed Arrow stream."""
+    for batch in slices(batches, "text", CHUNK_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["body"])
+
+
+def _unchunked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all().combine_chunks()
+
+
 def _asked(order: int, buckets: int):
-    def run(chunk: pa.Table) -> pa.Table:
-        text = chunk.column("text").combine_chunks()
-        tokens, first = _tokens(text)
+    def rows(number: int, chunk: pa.Table) -> Iterator[tuple]:
+        tokens, first = _tokens(chunk.column("text").combine_chunks())
         train = np.repeat(~chunk.column("held_out").to_numpy(), np.diff(first))
-        rows = []
         for n, g in enumerate(_grams(tokens, first, order), 1):
             keys, at = np.unique(g, return_inverse=True)
-            counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+            counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)  # of one chunk
             cut = _cuts(keys, buckets)
-            rows += [(n, b, _packed(np.diff(keys[lo:hi], prepend=U(0))), _packed(counts[lo:hi])) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:]))]
-        n, b, k, c = zip(*rows)
-        number = chunk.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "n": pa.array(n, pa.int32()), "bucket": pa.array(b, pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+            for b in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[b], cut[b + 1])
+                yield number, n, int(b), _packed(np.diff(keys[part], prepend=U(0))), _packed(counts[part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column(0), batch.column(1)):
+                found = list(rows(number.as_py(), _unchunked(body.as_buffer())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _ASKED.types)], schema=_ASKED)
 
     return run
 
 
+_ASKED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
 def _summed(rows: pa.Table) -> pa.Table:
     """All chunks' questions of one bucket and order: the sums, dealt back; and the totals, as chunk -1."""
-    keys = [np.cumsum(_unpacked(x, U), dtype=U) for x in rows.column("keys").to_pylist()]
-    counts = np.concatenate([_unpacked(x, np.uint32) for x in rows.column("counts").to_pylist()])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(at, weights=counts).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+    keys = [np.cumsum(_unpacked(x.as_buffer(), U), dtype=U) for x in rows.column("keys")]
+    counts = np.concatenate([_unpacked(x.as_buffer(), np.uint32) for x in rows.column("counts")])
     size = np.cumsum([len(k) for k in keys])
-    answers = [_packed(x.astype(np.uint32)) for x in np.split(sums[at], size[:-1])]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    sums = np.zeros(len(distinct), U)
+    np.add.at(sums, at, counts)
+    answers = [_packed(sums[x]) for x in np.split(at, size[:-1])]
     n, b = rows.column("n")[0].as_py(), rows.column("bucket")[0].as_py()
     more = len(answers) + 1
     return pa.table({
-        "chunk": pa.array([*rows.column("chunk").to_pylist(), -1], pa.int32()), "n": pa.array([n] * more, pa.int32()), "bucket": pa.array([b] * more, pa.int32()),
+        "chunk": pa.array([*rows.column("chunk").to_pylist(), -1], pa.int64()), "n": pa.array([n] * more, pa.int32()), "bucket": pa.array([b] * more, pa.int32()),
         "counts": pa.array([*answers, b""], pa.binary()), "total": pa.array([0] * (more - 1) + [int(sums.sum())], pa.int64()), "kinds": pa.array([0] * (more - 1) + [int((sums > 0).sum())], pa.int64()),
     })
 
 
-def _traverse(arcs: list[list], failures: list[list], states: list[list], lo: int, hi: int) -> float:
-    """Score of places lo..hi-1. arcs[n][i]: weight of the arc on token i from the history of n tokens, or None;
-    failures[n][i]: weight of that history's failure arc; states[n][i]: are the n tokens up to i a state?"""
+def _traverse(arcs: list[np.ndarray], failures: list[np.ndarray], states: list[np.ndarray], lo: int, hi: int) -> float:
+    """Score of places lo..hi-1, one walk from left to right. arcs[n][i]: weight of the arc on token i from the history
+    of n tokens, NaN for none; failures[n][i]: weight of that history's failure arc; states[n][i]: are the n tokens up
+    to i a state?"""
     top, total = len(arcs) - 1, 0.0
     n = top  # the start's history is a state
-    for i in range(lo, hi):
-        weight = arcs[n][i]
-        while weight is None:
-            total += failures[n][i]
-            n -= 1
-            weight = arcs[n][i]
-        total += weight
-        if n < top:
-            n += 1
-        while n and not states[n][i]:
-            n -= 1
+    for at in range(lo, hi, WALK):
+        part = slice(at, min(hi, at + WALK))
+        arc, failure, state = ([x[part].tolist() for x in given] for given in (arcs, failures, states))
+        for i in range(part.stop - at):
+            weight = arc[n][i]
+            while weight != weight:
+                total += failure[n][i]
+                n -= 1
+                weight = arc[n][i]
+            total += weight
+            if n < top:
+                n += 1
+            while n and not state[n][i]:
+                n -= 1
     return total
 
 
-def _scored(order: int, mu: float, tokens_in_training: int, kinds: int):
+_SCORED = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _scored(order: int, mu: float, tokens_in_training: int, kinds: int, id_type: pa.DataType):
+    schema = pa.schema([("doc_id", id_type), *_SCORED])
+
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunk.num_rows:
-            return pa.table({"doc_id": chunk.column("doc_id"), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return schema.empty_table()
+        chunk = _unchunked(chunk.column("body")[0].as_buffer())
         tokens, first = _tokens(chunk.column("text").combine_chunks())
         answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
-        given = list(zip(answers.column("n").to_pylist(), answers.column("counts").to_pylist()))
         count = []  # of the n-gram that ends at each place
         for n, g in enumerate(_grams(tokens, first, order), 1):
             _, at = np.unique(g, return_inverse=True)
-            count.append(np.concatenate([_unpacked(c, np.uint32) for m, c in given if m == n])[at].astype(np.float64))
+            count.append(np.concatenate([_unpacked(c.as_buffer(), U) for m, c in zip(answers.column("n").to_pylist(), answers.column("counts")) if m == n])[at].astype(np.float64))
         p = (count[0] + 0.5) / (tokens_in_training + 0.5 * (kinds + 1))
         base = np.log10(p)
-        arcs, failures, states = [base.tolist()], [[]], [[]]
+        arcs, failures, states = [base], [np.zeros(0)], [np.zeros(0, bool)]
         place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-        documents = 0.0 if not len(tokens) else count[0][first[1] - 1]  # as many ends as training documents
+        inner = np.flatnonzero(place >= 1)
+        documents = count[0][first[1] - 1]  # as many ends as training documents
         for n in range(1, order):
             history = np.full(len(tokens), documents)  # count of the n tokens before; START alone: every document
-            inner = place >= 1
-            history[inner] = count[n - 1][np.flatnonzero(inner) - 1]
-            hit = count[n] > 0
+            history[inner] = count[n - 1][inner - 1]
             p = np.where(history > 0, (count[n] + mu * p) / (history + mu), p)
-            weight = np.log10(p).astype(object)
-            weight[~hit] = None
-            arcs.append(weight.tolist())
-            failures.append(np.log10(mu / (history + mu)).tolist())
-            states.append((count[n - 1] > 0).tolist())
-        known = count[0] > 0
-        starts = first[:-1]
-        return pa.table({
-            "doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"),
-            "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_known": pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, starts)),
-            "score": pa.array([_traverse(arcs, failures, states, a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.float64()),
-        })
+            arcs.append(np.where(count[n] > 0, np.log10(p), np.nan))
+            failures.append(np.log10(mu / (history + mu)))
+            states.append(count[n - 1] > 0)
+        known, starts = count[0] > 0, first[:-1]
+        del count, p, place, inner
+        scores = [_traverse(arcs, failures, states, a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        return pa.Table.from_arrays([
+            chunk.column("doc_id").combine_chunks(), chunk.column("held_out").combine_chunks(), pa.array(np.diff(first).astype(np.int64)),
+            pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(scores, pa.float64()),
+        ], schema=schema)
 
     return run
 
@@ -175,16 +208,16 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
+    chunks = written(rows.mapInArrow(_chunked, "body binary").withColumn("chunk", F.monotonically_increasing_id()).select("chunk", "body"), "chunks", spark)
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    chunks, buckets = max(1, math.ceil(size / CHUNK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    asked = dealt.groupBy("chunk").applyInArrow(_asked(order, buckets), "chunk int, n int, bucket int, keys binary, counts binary")
-    answers = asked.groupBy("n", "bucket").applyInArrow(_summed, "chunk int, n int, bucket int, counts binary, total long, kinds long")
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    asked = chunks.mapInArrow(_asked(order, buckets), "chunk long, n int, bucket int, keys binary, counts binary")
+    answers = asked.groupBy("n", "bucket").applyInArrow(_summed, "chunk long, n int, bucket int, counts binary, total long, kinds long")
     answers = written(answers, "counts", spark)
     total = answers.where("chunk = -1 and n = 1").agg(F.sum("total"), F.sum("kinds")).first()
     n, v = total[0] or 0, total[1] or 0
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "n", "bucket", "counts").groupBy("chunk")).applyInArrow(
-        _scored(order, mu, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    kind = rows.schema["doc_id"].dataType
+    scored = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "n", "bucket", "counts").groupBy("chunk")).applyInArrow(
+        _scored(order, mu, n, v, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,21 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests), a temporary folder is made and set."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is an error on a cluster; on local[n], where one
+    process is driver and executor, a temporary folder is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="prismora-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") + "/prismora"
 
 
 def written(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are dropped once the table is whole, as nothing reads them again.
+    """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to any more
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.prismora_path = path
     return out
