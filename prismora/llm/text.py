@@ -22,6 +22,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 20
 _powers: list[np.ndarray] = [np.ones(0, U), np.ones(0, U)]
 
 
@@ -42,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES)
+        n = max(n, HASH_BYTES + 1)
         for k, step in enumerate((_BASE, _INVERSE)):
             p = np.full(n, step, U)
             p[0] = 1
@@ -103,7 +104,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 
 
 def word_hashes(words: Words, lower: bool = False) -> np.ndarray:
-    return span_hashes(words.data, words.starts, words.ends, lower)
+    """Hashes of all words, a stretch of HASH_BYTES at a time."""
+    out, lo = np.empty(len(words.starts), U), 0
+    while lo < len(out):
+        begin = words.starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(words.ends, begin + HASH_BYTES, "right")))
+        out[lo:hi] = span_hashes(words.data[begin : words.ends[hi - 1]], words.starts[lo:hi] - begin, words.ends[lo:hi] - begin, lower)
+        lo = hi
+    return out
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
