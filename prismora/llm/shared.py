@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/") + "/prismora"
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def append(df: DataFrame, path: str, *folders: str) -> None:
+    """Add rows to a table in the shared folder, a folder for each value of `folders`; drops the shuffle files like written()."""
+    with _shuffles_dropped(df.sparkSession):
+        df.write.mode("append").partitionBy(*folders).option("compression", "zstd").parquet(path)
+
+
 def written(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -32,12 +50,8 @@ def written(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataF
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_dropped(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.prismora_path = path
     return out
