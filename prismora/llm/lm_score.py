@@ -34,7 +34,7 @@ from .text import U, coefficients, mix, slices, split_words, word_hashes
 
 ORDER = 2
 MU = 4.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 WALK = 1 << 14  # places of a traversal that are Python numbers at a time
 FOLDS, HELD_OUT = 5, 1
