@@ -2,19 +2,24 @@
 
 A text is split by the pattern; each distinct piece of a batch becomes token-position rows. A recursive query joins
 adjacent rows to the merge table and contracts each word's leftmost minimum-rank pair until nothing merges; ordered
-aggregation turns ids back into bytes. Pieces over LONG bytes are contracted in the same order from a heap, as one
-contraction a step is quadratic there. A memo of bounded size keeps frequent pieces.
+aggregation turns ids back into bytes. The query holds every step of every piece, which grows with the square of a
+piece's length, so pieces go to it in groups of bounded squares. Pieces over LONG bytes are contracted in the same
+order from a heap, as one contraction a step is quadratic there. A memo of bounded size keeps frequent pieces.
 
-Null texts count as empty and have no ids; repeated rows get equal ids; an empty table gives an empty result.
+Null texts count as empty and have no ids; repeated rows get equal ids; of equal ranks in a piece the leftmost goes
+first; a very long text is coded a stretch of pieces at a time; further columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,6 +30,8 @@ from .tokens import Memo, default_path, default_pattern, ranks
 
 LONG = 64
 MEMO = 350_000
+SQUARES = 4_000_000  # sum of the squared lengths of the pieces in one query
+STRETCH = 200_000  # pieces of a text that are coded at once
 
 _ENCODE = """
 with recursive run as (
@@ -58,7 +65,7 @@ class Coder:
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
         self.table = ranks(path)
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern).finditer
         self.memo = Memo(memo)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.table[t[:k]], self.table[t[k:]], r) for t, r in self.table.items() for k in range(1, len(t)) if t[:k] in self.table and t[k:] in self.table]
@@ -82,8 +89,12 @@ class Coder:
                 out[k] = _contract(w, self.table)
             elif w:
                 short.append(k)
-        if short:
-            self._put("words", word=pa.array(short, pa.int32()), body=pa.array([words[k] for k in short], pa.binary()), hex=pa.array([words[k].hex() for k in short]))
+        short.sort(key=lambda k: len(words[k]))
+        while short:
+            ends = np.cumsum([len(words[k]) ** 2 for k in short])
+            group = short[: max(1, int(np.searchsorted(ends, SQUARES, "right")))]
+            short = short[len(group) :]
+            self._put("words", word=pa.array(group, pa.int32()), body=pa.array([words[k] for k in group], pa.binary()), hex=pa.array([words[k].hex() for k in group]))
             for k, ids in self.db.execute(_ENCODE).fetchall():
                 out[k] = ids
         return out
@@ -98,17 +109,43 @@ class Coder:
 
     def batch(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
         """For each text, its pieces' (ids joined by a space, decoded bytes)."""
-        pieces = [self.split(t) for t in texts]
-        distinct: set[str] = set()
-        for p in pieces:
-            distinct.update(p)
-        new = self.memo.missing(distinct)
-        if new:
-            coded = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
-            self.memo.update(zip(new, ((" ".join(map(str, ids)), body) for ids, body in zip(coded, self.decode_words(coded)))))
-        known = self.memo
-        for p in pieces:
-            yield [known[w] for w in p]
+        for parts in self.stretched(texts):
+            yield list(itertools.chain.from_iterable(parts))
+
+    def stretched(self, texts: list[str]) -> Iterator[Iterator[list[tuple[str, bytes]]]]:
+        """The same as lists of at most STRETCH pieces; a text's lists are to be used up before the next text's."""
+        stretches = ((k, part) for k, t in enumerate(texts) for part in self._stretches(t))
+        held: list[tuple[int, list[str]]] = []
+        coded = self._coded(stretches, held)
+        for _, parts in itertools.groupby(coded, key=lambda x: x[0]):
+            yield (p for _, p in parts)
+
+    def _stretches(self, text: str) -> Iterator[list[str]]:
+        pieces = (m[0] for m in self.split(text))
+        while part := list(itertools.islice(pieces, STRETCH)):
+            yield part
+            if len(part) < STRETCH:
+                return
+        yield []
+
+    def _coded(self, stretches: Iterator[tuple[int, list[str]]], held: list) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+        """Code stretches together until they have STRETCH pieces, so that small texts share a query."""
+        size = 0
+        for k, part in itertools.chain(stretches, [(-1, [])]):
+            held.append((k, part))
+            size += len(part)
+            if size < STRETCH and k >= 0:
+                continue
+            new = self.memo.missing(set(itertools.chain.from_iterable(p for _, p in held)))
+            if new:
+                coded = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
+                self.memo.update(zip(new, ((" ".join(map(str, ids)), body) for ids, body in zip(coded, self.decode_words(coded)))))
+            known = self.memo
+            for own, pieces in held:
+                if own >= 0:
+                    yield own, [known[w] for w in pieces]
+            held.clear()
+            size = 0
 
 
 def _contract(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -148,11 +185,15 @@ def _digests(path: str, pattern: str):
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, ids, bodies = [], [], []
-            for parts in coder(path, pattern).batch(texts):
-                line = " ".join([p[0] for p in parts])
-                counts.append(line.count(" ") + 1 if parts else 0)
-                ids.append(hashlib.sha256(line.encode()).hexdigest())
-                bodies.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
+            for stretches in coder(path, pattern).stretched(texts):
+                n, line, body = 0, hashlib.sha256(), hashlib.sha256()
+                for parts in stretches:
+                    if parts:
+                        text = " ".join([p[0] for p in parts])
+                        line.update((" " + text if n else text).encode())
+                        n += text.count(" ") + 1
+                        body.update(b"".join([p[1] for p in parts]))
+                counts.append(n), ids.append(line.hexdigest()), bodies.append(body.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -162,7 +203,7 @@ def _encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [[int(x) for p in parts for x in p[0].split()] for parts in coder(path, pattern).batch(texts)]
+            ids = [[int(x) for parts in stretches for p in parts for x in p[0].split()] for stretches in coder(path, pattern).stretched(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run

@@ -146,6 +146,32 @@ def test_long_pieces(word):
     assert coder.encode_words([word.encode()])[0] == rank_encoder(path, pattern).encode_ordinary(word)
 
 
+@pytest.mark.parametrize(("size", "length"), [(1_000_000, 60), (2_000_000, 60), (2_000_000, 30), (2_000_000, 12)])
+def test_texts_of_long_words(size, length):
+    """Random words of one length: every piece is new and takes as many steps as it can."""
+    path, pattern = default_path("byte_bpe_50k.tiktoken"), default_pattern()
+    letters = np.random.default_rng(length).integers(97, 123, size).astype(np.uint8).tobytes().decode()
+    text = " ".join(letters[k : k + length] for k in range(0, size, length))
+    parts = next(bpe.coder(path, pattern).batch([text]))
+    assert [int(x) for p in parts for x in p[0].split()] == rank_encoder(path, pattern).encode_ordinary(text)
+    assert b"".join(p[1] for p in parts) == text.encode()
+
+
+def test_one_very_long_piece():
+    path, pattern = default_path("byte_bpe_50k.tiktoken"), default_pattern()
+    text = np.random.default_rng(0).integers(97, 123, 100_000).astype(np.uint8).tobytes().decode()
+    parts = next(bpe.coder(path, pattern).batch([text]))
+    assert len(parts) == 1 and [int(x) for x in parts[0][0].split()] == rank_encoder(path, pattern).encode_ordinary(text)
+
+
+def test_stretches_are_the_text(monkeypatch):
+    path, pattern = default_path("byte_bpe_50k.tiktoken"), default_pattern()
+    texts = ["", "a b c d e f", "one", "", "x " * 9, "a b c"]
+    monkeypatch.setattr(bpe, "STRETCH", 3)
+    want = [rank_encoder(path, pattern).encode_ordinary(t) for t in texts]
+    assert [[int(x) for p in parts for x in p[0].split()] for parts in bpe.coder(path, pattern).batch(texts)] == want
+
+
 def test_mix_is_written_block_by_block(spark):
     rows = [(k, " \n" * (k % 3) + "\t ".join(f"d{k}w{j}é" for j in range(k % 300)), "ab"[k % 2]) for k in range(120)] + [(None, "x y z", None), (5, None, "a"), (7, "same text", "a"), (7, "same text", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
