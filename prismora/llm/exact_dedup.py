@@ -2,11 +2,13 @@
 
 A snapshot's digests are held in an exact table dealt into buckets, with one static binary-fuse filter per bucket. The
 digests of an incoming batch are grouped among themselves, screened by the filter of their bucket, and only positives
-join the snapshot's exact table. Members of every group that is found are compared byte by byte with the row that stays.
+join the snapshot's exact table. The least and the greatest text of every group that is found are compared byte by byte.
+`store_snapshot` keeps table and filters for later batches, which `against_snapshot` holds against them.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id stays
 (null is smallest); of several equal rows with that doc_id one stays. Empty tables give empty results; further columns
-are ignored by `exact_dedup` and passed on by `drop_exact_copies`, whatever their names.
+are ignored by `exact_dedup` and passed on by `drop_exact_copies`, whatever their names. A text may be as long as a
+row can be; a group of copies is aggregated before it is shuffled.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def digest_groups(rows: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> Da
         .groupBy("old", "digest").agg(F.max(F.struct("doc_id", "n")).alias("top"), F.sum("n").alias("n"))
     )
     side = written(side.withColumn("key", key), "digests", spark)
-    n = side.where("old").count()
+    n = max([r["count"] for r in side.groupBy("old").count().collect()], default=0)  # two rows at most
     buckets = max(1, math.ceil(n / keys_per_filter))
     side = side.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     old, new = side.where("old"), side.where("not old")
@@ -78,16 +80,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str, snapshot: Column | None,
     slim = written(rows.select("doc_id", "digest", "sha", "old"), "slim", spark)
     groups = written(digest_groups(slim.select("doc_id", "digest", "old"), keys_per_filter), "groups", spark)
     # texts of the groups' members only, for the byte checks
-    members = rows.join(groups.where("group_size > 1").select("digest", "keep_id"), "digest").select("doc_id", "digest", "sha", "keep_id", "norm")
+    members = rows.join(groups.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest", "sha", "norm")
     members = written(members, "members", spark)
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stay_norm"))
-    differ = members.join(stays, "digest").where("norm <> stay_norm").select("digest")
+    differ = members.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest")
     cols = ["doc_id", "sha", "keep_id", "n_top", "group_size"]
     if differ.isEmpty():
         return slim.join(groups, "digest").select(cols)
     # colliding digests: their groups are made anew from the bytes
-    clash = written(differ.distinct(), "clash")
-    exact = members.drop("keep_id").join(clash, "digest", "left_semi")
+    clash = written(differ, "clash")
+    exact = members.join(clash, "digest", "left_semi")
     again = (
         exact.groupBy("norm", "doc_id").agg(F.count("*").alias("n"))
         .groupBy("norm").agg(F.max(F.struct("doc_id", "n")).alias("top"), F.sum("n").alias("group_size"))
@@ -109,6 +110,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
+def store_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> None:
+    """Write an immutable snapshot: `path`/texts (its distinct texts by digest, with the doc_id that stays and the size of
+    the group) and `path`/filters (a binary-fuse filter a bucket)."""
+    rows = _digested(docs, id_col, text_col, None, 64).select("doc_id", "digest", "norm")
+    texts = rows.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("key", F.xxhash64("digest"))
+    texts.write.parquet(f"{path}/texts")
+    kept = docs.sparkSession.read.schema(texts.schema).parquet(f"{path}/texts").select("key")
+    buckets = max(1, math.ceil(kept.count() / keys_per_filter))
+    kept = kept.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    filters = kept.groupBy("bucket").applyInPandas(_build_filters, "bucket int, seed string, segment long, segments long, slots binary")
+    filters.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def against_snapshot(batch: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document of the batch: doc_id, seen (its text is in the stored snapshot), keep_id and group_size there.
+
+    A digest that the filter of its bucket rejects is new; positives join the snapshot's texts and are compared with
+    them byte by byte. Copies inside the batch are `exact_dedup`'s.
+    """
+    spark = batch.sparkSession
+    filters, texts = spark.read.parquet(f"{path}/filters"), spark.read.parquet(f"{path}/texts")
+    some = filters.select("buckets").first()
+    rows = _digested(batch, id_col, text_col, None, 64).select("doc_id", "digest", "norm").withColumn("key", F.xxhash64("digest"))
+    keys = rows.select("digest", "key").distinct().withColumn("bucket", F.pmod("key", F.lit(some[0] if some else 1)).cast("int"))
+    positives = keys.groupBy("bucket").cogroup(filters.drop("buckets").groupBy("bucket")).applyInPandas(_screen, "digest binary")
+    known = texts.join(positives, "digest", "left_semi").select("digest", F.col("norm").alias("same"), "keep_id", "group_size", F.lit(True).alias("seen"))
+    out = rows.join(known, (rows["digest"] == known["digest"]) & (F.col("norm") == F.col("same")), "left")
+    return out.select("doc_id", F.coalesce("seen", F.lit(False)).alias("seen"), "keep_id", "group_size")
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", snapshot: Column | None = None, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
     """The documents that stay, with all their columns."""
     kept = _found(docs, id_col, text_col, snapshot, 64, keys_per_filter).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
