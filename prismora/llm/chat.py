@@ -10,8 +10,9 @@ Template: ``<s>role[INST]text[/INST]</s>`` for each turn. A control string insid
 its first character, one more than it has there, so that unescaping is exact. Positions count code points.
 
 Rows of a conversation are ordered by turn (null first), then role and text; repeated rows are turns of their own.
-Null texts count as empty, null roles as the empty role; a null conv_id is a conversation. An empty table gives an
-empty result.
+Null texts count as empty, null roles as the empty role; a null conv_id is a conversation. conv_ids are whole numbers:
+other types raise, where ANSI mode is on, or else are null. A turn is formatted in one piece, however long; further
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,8 +145,12 @@ def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     steps = _by_conversation(given, "turn", "role", "text").mapInArrow(_steps, "conv_id long, depth long, parent binary, key binary, segment string, chars long, loss_start long, loss_end long")
     steps = written(steps, "steps", spark)
     owner = steps.groupBy("key").agg(F.min("conv_id").alias("owner"), F.first("parent").alias("parent"))
-    forks = owner.groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select("parent", F.lit(True).alias("branch"))
-    marks = owner.join(forks, "parent", "left").select("key", "owner", F.coalesce("branch", F.lit(False)).alias("branch"))
+    owner = written(owner, "owners", spark)
+    # first turns all hang on the root and count as branches without a join; hot parents are a skewed join of two tables
+    deep = owner.where(F.col("parent") != F.lit(ROOT))
+    forks = written(deep.groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select("parent"), "forks", spark)
+    marks = deep.join(forks.withColumn("branch", F.lit(True)), "parent", "left").select("key", "owner", F.coalesce("branch", F.lit(False)).alias("branch"))
+    marks = marks.unionByName(owner.where(F.col("parent") == F.lit(ROOT)).select("key", "owner", F.lit(True).alias("branch")))
     paths = steps.select("conv_id", "depth", "key", "chars").join(marks, "key").withColumn("own", F.col("conv_id").eqNullSafe(F.col("owner"))).drop("owner")
     paths = written(paths, "paths", spark)
     places = _by_conversation(paths, "depth").mapInArrow(_places, "key binary, path binary, position long").dropDuplicates(["key"])
