@@ -75,6 +75,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def places(self) -> np.ndarray:
+        """Places of the words' bytes."""
+        return np.flatnonzero(~_SPACE[self.data])
+
 
 def split_words(column: pa.Array) -> Words:
     data, docs = raw(column)

@@ -6,8 +6,10 @@ minimum, a bit width that holds a chosen share of the offsets from it, the packe
 and token counts. Files are written by the tasks into the shared folder through its file system, under a name of the
 attempt, and renamed when whole; a manifest row per file carries its totals.
 
-Null texts count as empty: one id, the end id. Null doc_ids come first. Repeated rows are separate documents; equal
-doc_ids follow each other in the order of their texts' hashes. An empty table gives no files and an empty result.
+Null texts count as empty: one id, the end id. Null doc_ids come first; doc_ids are whole numbers, as the footer keeps
+them so. Repeated rows are separate documents; equal doc_ids follow each other in the order of their texts' hashes. A
+very long text is encoded whole in one task. Special tokens written in a text are what the tokenizers library makes of
+them by default. Further columns are ignored, whatever their names. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, written
-from .text import slices, split_words, word_hashes
+from .text import Words, slices, split_words, word_hashes
 from .tokens import Memo, cuts_at_spaces, default_path, json_encoder
 
 MAGIC = b"PFORIDS1"
@@ -121,6 +123,15 @@ class Reader:
         return self.ids(int(self.first[k]), int(self.first[k] + self.counts[k]))
 
 
+def _equal(w: Words, other: np.ndarray) -> bool:
+    """Is every word equal, byte by byte, to the word that `other` names for it?"""
+    size = w.ends - w.starts
+    if not np.array_equal(size, size[other]):
+        return False
+    own = w.places()
+    return bool(np.array_equal(w.data[own], w.data[own + np.repeat(w.starts[other] - w.starts, size)]))
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, through a bounded memo of space-separated words.
 
@@ -133,12 +144,13 @@ class WordEncoder:
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if not self.by_word:
-            found = [np.array(e.ids, np.uint32) for e in self.encoder.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+            return self._whole(column)
         w = split_words(column)
         if not len(w.starts):
             return np.zeros(0, np.uint32), np.zeros(len(w.docs) - 1, np.int64)
         _, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        if not _equal(w, first[of]):  # two words with one hash
+            return self._whole(column)
         body = w.data.tobytes()
         words = [body[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
         new = self.memo.missing(words)
@@ -157,6 +169,10 @@ class WordEncoder:
         np.cumsum(each, out=total[1:])
         return ids, total[w.first[1:]] - total[w.first[:-1]]
 
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.encoder.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
     def _joined(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of ASCII words from one text with a space between them, cut at the words' offsets."""
         e = self.encoder.encode(b" ".join(words).decode(), add_special_tokens=False)
