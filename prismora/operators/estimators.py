@@ -1,15 +1,17 @@
-"""Combining neighbours: weights, reconstruction, fit, confidence, blending and projection."""
+"""Combining neighbours given as rows: weights, reconstruction, policy, blending and projection.
 
-from __future__ import annotations
+The mapping itself (mapping/retrieval.py) keeps a query's neighbours as arrays; these steps serve neighbours as rows.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT = 1e-12
+from ..mapping import kernels, retrieval
+
+EXACT = kernels.EXACT
 
 
 def mean_weights(neighbors: DataFrame) -> DataFrame:
@@ -24,64 +26,33 @@ def distance_weights(neighbors: DataFrame) -> DataFrame:
     return neighbors.withColumn("raw", raw).withColumn("weight", F.col("raw") / F.sum("raw").over(w)).drop("raw")
 
 
-def simplex_weights(x: np.ndarray, q: np.ndarray, iterations: int = 250, stop: float = 1e-10) -> np.ndarray:
-    """Weights on the simplex that minimise |w x - q|^2, by accelerated projected gradients; x: neighbours by bands."""
-    if len(x) == 1:
-        return np.ones(1)
-    exact = np.sqrt(((x - q) ** 2).mean(axis=1)) <= EXACT
-    if exact.any():
-        return exact / exact.sum()
-    gram, target = x @ x.T, x @ q
-    step = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
-    w = y = np.full(len(x), 1 / len(x))
-    t = 1.0
-    for _ in range(iterations):
-        new = project_simplex(y - step * (gram @ y - target))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t2 * (new - w)
-        done, w, t = np.abs(new - w).sum() <= stop, new, t2
-        if done:
-            break
-    return w / w.sum()
+def simplex_weights(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Simplex weights of one query's neighbours; x: neighbours by bands."""
+    far = np.sqrt(((x - q) ** 2).mean(axis=1))[None]
+    return kernels.weights("simplex_mixture", x[None].astype(float), far, q[None].astype(float), np.ones((1, len(q)), bool))[0]
 
 
 def project_simplex(v: np.ndarray) -> np.ndarray:
-    u = np.sort(v)[::-1]
-    over = np.cumsum(u) - 1
-    k = np.flatnonzero(u - over / np.arange(1, len(v) + 1) > 0)[-1]
-    return np.maximum(v - over[k] / (k + 1), 0)
-
-
-def simplex(neighbors: DataFrame, queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Neighbours with their simplex mixture weights, one small group per query."""
+    return kernels.onto_simplex(v[None])[0]
 
-    def fit(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("rank")
-        w = simplex_weights(np.stack(d["x"].to_numpy()).astype(float), np.asarray(d["q"].iloc[0], float))
-        return d[["query_id", "rank", "row_id", "distance"]].assign(weight=w)
 
-    rows = neighbors.join(library.select("row_id", "x"), "row_id").join(queries.select("query_id", "q"), "query_id")
-    return rows.groupBy("query_id").applyInPandas(fit, "query_id long, rank long, row_id long, distance double, weight double")
+def combined(weighted: DataFrame, library: DataFrame) -> DataFrame:
+    """(query_id, values): weighted sum of the neighbours' vectors as an array, runs of a query summed batch by batch."""
+    rows = weighted.join(library.select("row_id", F.col("x").cast("array<double>").alias("y")), "row_id")
+    placed = rows.select(F.col("query_id").alias("sample_index"), F.col("weight").alias("w"), "y").repartition("sample_index").sortWithinPartitions("sample_index")
+    made = placed.mapInArrow(retrieval._summed, "sample_index long, made array<double>")
+    return made.select(F.col("sample_index").alias("query_id"), F.col("made").alias("values"))
 
 
 def reconstruct(weighted: DataFrame, library: DataFrame) -> DataFrame:
-    """(query_id, pos, value): weighted sum of the neighbours' vectors, by position."""
-    rows = weighted.join(library.select("row_id", "x"), "row_id").select("query_id", "weight", F.posexplode("x").alias("pos", "v"))
-    return rows.groupBy("query_id", F.col("pos").cast("long").alias("pos")).agg(F.sum(F.col("weight") * F.col("v").cast("double")).alias("value"))
+    """The same by position: (query_id, pos, value)."""
+    rows = combined(weighted, library).select("query_id", F.posexplode("values").alias("pos", "value"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
-def confidence(weighted: DataFrame, fitted: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source_fit_rmse, confidence, level, policy) from coverage, distances, fit and the largest weight."""
-    err = fitted.join(queries.select("query_id", F.posexplode("q").alias("pos", "q")).withColumn("pos", F.col("pos").cast("long")), ["query_id", "pos"])
-    fit = err.groupBy("query_id").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("q").cast("double"), 2))).alias("source_fit_rmse"), F.avg(F.abs(F.col("q").cast("double"))).alias("scale"))
-    near = weighted.groupBy("query_id").agg(F.avg("distance").alias("mean_distance"), F.max("weight").alias("top"))
-    scale = F.when(F.col("scale") <= EXACT, 1.0).otherwise(F.col("scale"))
-    score = 0.25 + 0.35 * F.exp(-F.col("mean_distance") / scale) + 0.25 * F.exp(-F.col("source_fit_rmse") / scale) + 0.15 * F.col("top")
-    return policy(fit.join(near, "query_id").withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))))
-
-
-def policy(rows: DataFrame) -> DataFrame:
-    c = F.col("confidence")
+def policy(rows: DataFrame, col: str = "confidence") -> DataFrame:
+    """rows with level and policy of a score; none is unavailable and rejected."""
+    c = F.col(col)
     return rows.withColumn("level", F.when(c >= 0.85, "high").when(c >= 0.6, "medium").when(c.isNull(), "unavailable").otherwise("low")).withColumn(
         "policy", F.when(c >= 0.85, "accept").when(c >= 0.6, "manual_review").otherwise("reject")
     )
@@ -104,6 +75,16 @@ def blend(left: Column, right: Column, position: Column, start: float, end: floa
     return F.when(position < start, left).when(position > end, right).otherwise(w * left + (1 - w) * right)
 
 
+def blended(vnir: Column, swir: Column, grid) -> Column:
+    """Both segments' arrays as one on the whole grid, with the ramp on the overlap."""
+    (lo, hi), v0, s0 = grid.blend, grid.vnir[0], grid.swir[0]
+    n = hi - lo + 1
+    head = F.slice(vnir, 1, lo - v0)
+    pairs = F.arrays_zip(F.slice(vnir, lo - v0 + 1, n).alias("v"), F.slice(swir, lo - s0 + 1, n).alias("s"))
+    ramp = F.transform(pairs, lambda p, i: (F.lit(n - 1) - i) / F.lit(float(n - 1)) * p["v"] + i / F.lit(float(n - 1)) * p["s"])
+    return F.concat(head, ramp, F.slice(swir, hi - s0 + 2, grid.end - hi))
+
+
 def linear_apply(values: Column, weights: list[float], bias: float) -> Column:
     w = F.array(*[F.lit(float(x)) for x in weights])
     return F.aggregate(F.zip_with(values, w, lambda a, b: a.cast("double") * b), F.lit(float(bias)), lambda a, b: a + b)

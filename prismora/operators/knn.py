@@ -1,71 +1,30 @@
-"""Exact k-nearest-neighbour join by root-mean-square distance over valid bands.
+"""Exact k-nearest-neighbour join by root-mean-square distance over valid bands: (query_id, rank, row_id, distance).
 
-Queries go out in blocks of bounded size; each library batch answers a block with one matrix product, rescores the rows
-that can be among the k nearest exactly, and keeps k of them per query. The k best of all batches are a grouped limit.
+The search is the mapping's (see mapping/retrieval.py): the library is shipped to the tasks while it fits a bound that
+is checked, beyond it blocks of queries meet blocks of the library. Nothing of the queries passes the driver.
 Order: distance, then row id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096  # queries in one broadcast: 4096 * 2101 doubles are 69 MB at most
-
-
-def _answers(ids: np.ndarray, values: np.ndarray, valid: np.ndarray, own: np.ndarray, k: int):
-    q2 = np.where(valid, values, 0.0)
-    weight = valid.astype(float)
-    norms, n = (q2 * q2).sum(axis=1), np.maximum(weight.sum(axis=1), 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            if not len(d) or not len(ids):
-                continue
-            rows = d["row_id"].to_numpy(np.int64)
-            x = np.stack(d["x"].to_numpy()).astype(float)
-            near = np.maximum(norms[:, None] - 2 * q2 @ x.T + weight @ (x * x).T, 0)
-            near[own[:, None] == rows[None, :]] = np.inf
-            cut = np.partition(near, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-            who, at = np.nonzero(near <= (cut + 1e-6 * (1 + norms))[:, None])
-            keep = np.isfinite(near[who, at])
-            who, at = who[keep], at[keep]
-            diff = np.where(valid[who], values[who] - x[at], 0.0)
-            exact = np.sqrt((diff * diff).sum(axis=1) / n[who])
-            out = pd.DataFrame({"query_id": ids[who], "row_id": rows[at], "distance": exact}).sort_values(["query_id", "distance", "row_id"])
-            yield out.groupby("query_id", sort=False).head(k)
+from ..mapping import retrieval
 
-    return run
 
-
-def knn(queries: DataFrame, library: DataFrame, k: int, exclude_own: bool = False) -> DataFrame:
-    """(query_id, rank, row_id, distance). queries: query_id, q, valid (array of boolean, or null: all); library: row_id, x.
+def knn(queries: DataFrame, library: DataFrame, k: int, exclude_own: bool = False, ship_bytes: int = retrieval.SHIP_BYTES) -> DataFrame:
+    """queries: query_id, q, valid (array of boolean, or null: all); library: row_id, x.
 
     exclude_own: the library row whose id is the query's is left out. Fewer than k rows give fewer neighbours; a query
     without a valid band has none.
     """
-    found = []
-    held: list = []
-
-    def block(rows: list) -> DataFrame:
-        values = np.array([r["q"] for r in rows], float)
-        valid = np.array([r["valid"] if r["valid"] is not None else [True] * values.shape[1] for r in rows], bool)
-        some = valid.any(axis=1)
-        ids = np.array([r["query_id"] for r in rows], np.int64)[some]
-        own = ids if exclude_own else np.full(len(ids), -(2**62))
-        return library.select("row_id", "x").mapInPandas(_answers(ids, values[some], valid[some], own, k), "query_id long, row_id long, distance double")
-
-    for r in queries.select("query_id", "q", "valid").toLocalIterator():  # a block at a time
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            found.append(block(held))
-            held = []
-    if held or not found:
-        found.append(block(held) if held else library.sparkSession.createDataFrame([], "query_id long, row_id long, distance double"))
-    best = Window.partitionBy("query_id").orderBy("distance", "row_id")
-    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "row_id", "distance")
+    none = F.lit(None).cast("long")
+    given = queries.select(F.col("query_id").alias("sample_index"), F.col("q").cast("array<double>").alias("q"), "valid", (F.col("query_id") if exclude_own else none).alias("exclude_row"), none.alias("exclude_name"))
+    features = library.select(F.col("row_id").alias("row_index"), none.alias("name_code"), F.col("x").cast("array<double>").alias("x"))
+    width = library.select(F.size("x")).first()
+    places = list(range(width[0])) if width else []
+    found = retrieval.retrieve(given, "found", features, None, places, k, ship_bytes=ship_bytes, rows=library.count())
+    near = F.arrays_zip(F.col("found.rows").alias("row_id"), F.col("found.distances").alias("distance"))
+    rows = found.where("found.ok").select(F.col("sample_index").alias("query_id"), F.posexplode(near).alias("at", "n"))
+    return rows.select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("n.row_id").alias("row_id"), F.col("n.distance").alias("distance"))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..mapping import retrieval
+from ..mapping.benchmark import metrics
 from ..operators import estimators as E
 from ..operators.knn import knn
+from ..operators.quantiles import median_and_mad, quantiles
 from ..streaming.mapping import map_stream, shared_folder
 
 K = 5
@@ -56,6 +59,21 @@ def neighbors(spark: SparkSession, sf_dir: str, own: bool = True, masked: bool =
     return knn(asked(spark, sf_dir, masked), library(spark, sf_dir), K, exclude_own=own)
 
 
+def found(spark: SparkSession, sf_dir: str, estimator: str) -> DataFrame:
+    """Queries with their neighbours, weights, fit and reconstruction in one struct, without a shuffle."""
+    rows = asked(spark, sf_dir)
+    width = rows.select(F.size("q")).first()[0]
+    none = F.lit(None).cast("long")
+    given = rows.select(F.col("query_id").alias("sample_index"), F.col("q").cast("array<double>").alias("q"), "valid", F.col("query_id").alias("exclude_row"), none.alias("exclude_name"))
+    lib = library(spark, sf_dir).select(F.col("row_id").alias("row_index"), none.alias("name_code"), F.col("x").cast("array<double>").alias("x"))
+    made = retrieval.retrieve(given, "f", lib, lib.select("row_index", F.col("x").alias("y")), list(range(width)), K, estimator=estimator, rows=lib.count(), width=width)
+    return made.where("f.ok").select(F.col("sample_index").alias("query_id"), "f.*")
+
+
+def by_place(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.posexplode("values").alias("pos", "value")).select("query_id", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
+
+
 def _knn_sql(where: str = "true", keep: str = "true") -> str:
     """keep: condition on the 1-based position i of a band."""
     return f"""
@@ -102,18 +120,20 @@ def streamed_mapping(spark, sf_dir):
 
 @query(_NB + _POS + " select query_id, pos::bigint as pos, round(avg(v), 6) as value from nb join lib using (row_id) group by all")
 def neighbors_mean(spark, sf_dir):
-    return E.reconstruct(E.mean_weights(neighbors(spark, sf_dir)), library(spark, sf_dir)).withColumn("value", r6("value"))
+    return by_place(found(spark, sf_dir, "mean"))
 
 
 @query(_IDW + _POS + " select query_id, pos::bigint as pos, round(sum(weight * v), 6) as value from wt join lib using (row_id) group by all")
 def neighbors_idw(spark, sf_dir):
-    return E.reconstruct(E.distance_weights(neighbors(spark, sf_dir)), library(spark, sf_dir)).withColumn("value", r6("value"))
+    return by_place(found(spark, sf_dir, "distance_weighted_mean"))
 
 
 @query()
 def neighbors_simplex(spark, sf_dir):
-    found = E.simplex(neighbors(spark, sf_dir), asked(spark, sf_dir), library(spark, sf_dir))
-    return found.withColumn("distance", r6("distance")).withColumn("weight", r6("weight"))
+    """Mixture weights; they have no SQL and are tested against a direct search for the least distance."""
+    near = F.arrays_zip(F.col("rows").alias("row_id"), "distances", "weights")
+    rows = found(spark, sf_dir, "simplex_mixture").select("query_id", F.posexplode(near).alias("at", "n"))
+    return rows.select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("n.row_id").alias("row_id"), r6("n.distances").alias("distance"), r6("n.weights").alias("weight"))
 
 
 @query(_IDW + _POS + """, rec as (select query_id, pos, sum(weight * v) as value from wt join lib using (row_id) group by all),
@@ -123,8 +143,7 @@ sc as (select query_id, rmse, least(1, greatest(0, 0.25 + 0.35 * exp(-d / s) + 0
 select query_id, round(rmse, 6) as source_fit_rmse, round(c, 6) as confidence, case when c >= 0.85 then 'high' when c >= 0.6 then 'medium' else 'low' end as level,
        case when c >= 0.85 then 'accept' when c >= 0.6 then 'manual_review' else 'reject' end as policy from sc""")
 def confidence_policy(spark, sf_dir):
-    weighted = E.distance_weights(neighbors(spark, sf_dir))
-    rows = E.confidence(weighted, E.reconstruct(weighted, library(spark, sf_dir)), asked(spark, sf_dir))
+    rows = E.policy(found(spark, sf_dir, "distance_weighted_mean").withColumnRenamed("rmse", "source_fit_rmse"))
     return rows.select("query_id", r6("source_fit_rmse").alias("source_fit_rmse"), r6("confidence").alias("confidence"), "level", "policy")
 
 
@@ -159,22 +178,17 @@ def full_blend(spark, sf_dir):
 @query(_NB + _POS + f""", rec as (select query_id, pos, avg(v) as v from nb join lib using (row_id) group by all)
 select query_id, round(sum(v * ({BANDS['a']}::double[])[pos + 1]) / {sum(BANDS['a'])}, 6) as band_a, round(sum(v * ({BANDS['b']}::double[])[pos + 1]) / {sum(BANDS['b'])}, 6) as band_b from rec group by all""")
 def target_projection(spark, sf_dir):
-    rec = E.reconstruct(E.mean_weights(neighbors(spark, sf_dir)), library(spark, sf_dir))
-    def band(w):
-        return F.sum(F.col("value") * F.element_at(F.array(*[F.lit(float(x)) for x in w]), (F.col("pos") + 1).cast("int"))) / F.lit(sum(w))
-    return rec.groupBy("query_id").agg(*[r6(band(w)).alias(f"band_{n}") for n, w in BANDS.items()])
+    rec = found(spark, sf_dir, "mean")
+    return rec.select("query_id", *[r6(E.weighted_average(F.col("values"), w)).alias(f"band_{n}") for n, w in BANDS.items()])
 
 
 @query(_NB + _POS + """, rec as (select query_id, pos, avg(v) as v from nb join lib using (row_id) group by all),
 e as (select r.pos, r.v - l.v as d from rec r join lib l on l.row_id = r.query_id and l.pos = r.pos)
 select pos::bigint as pos, round(sqrt(avg(d * d)), 6) as rmse, round(avg(abs(d)), 6) as mae, round(avg(d), 6) as bias, round(abs(avg(d)), 6) as abs_bias from e group by all""")
 def band_error_metrics(spark, sf_dir):
-    rec = E.reconstruct(E.mean_weights(neighbors(spark, sf_dir)), library(spark, sf_dir))
-    truth = asked(spark, sf_dir).select("query_id", F.posexplode("q").alias("pos", "q")).withColumn("pos", F.col("pos").cast("long"))
-    d = F.col("value") - F.col("q").cast("double")
-    return rec.join(truth, ["query_id", "pos"]).groupBy("pos").agg(
-        r6(F.sqrt(F.avg(d * d))).alias("rmse"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.avg(d)).alias("bias"), r6(F.abs(F.avg(d))).alias("abs_bias")
-    )
+    truth = asked(spark, sf_dir).select("query_id", F.col("q").cast("array<double>").alias("truth"))
+    pairs = found(spark, sf_dir, "mean").select("query_id", F.col("values").alias("made")).join(truth, "query_id")
+    return metrics(pairs).select(F.col("band").alias("pos"), r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("bias").alias("bias"), r6(F.abs("bias")).alias("abs_bias"))
 
 
 LINEAR = [((k * 7) % 11 - 5) / 10 for k in range(64)]
@@ -236,8 +250,7 @@ select l_returnflag, l_orderkey, l_linenumber::bigint as l_linenumber, round((l_
   select *, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber) as rank from lineitem join d using (l_returnflag)) where rank <= 8""")
 def robust_z_topn(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
-    med = rows.groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("med"))
-    mad = rows.join(F.broadcast(med), "l_returnflag").groupBy("l_returnflag", "med").agg(F.greatest(1.4826 * F.median(F.abs(F.col("l_extendedprice") - F.col("med"))), F.lit(1e-9)).alias("mad"))
+    mad = median_and_mad(rows, ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.col("median").alias("med"), "mad")
     rank = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
     top = rows.withColumn("rank", rank.cast("long")).where("rank <= 8")
     return top.join(F.broadcast(mad), "l_returnflag").select("l_returnflag", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), r6((F.col("l_extendedprice") - F.col("med")) / F.col("mad")).alias("z"), "rank")
@@ -245,8 +258,8 @@ def robust_z_topn(spark, sf_dir):
 
 @query("""select o_orderpriority, count(*)::bigint as n, round(greatest(case when count(*) < 1000 then quantile_cont(o_totalprice, 0.995) else quantile_cont(o_totalprice, 0.999) end, 250), 6) as threshold from orders group by all""")
 def source_thresholds(spark, sf_dir):
-    q = lambda p: F.percentile("o_totalprice", F.lit(p))
-    out = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), q(0.995).alias("a"), q(0.999).alias("b"))
+    q = quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [0.995, 0.999])
+    out = q.select("o_orderpriority", "n", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     return out.select("o_orderpriority", "n", r6(F.greatest(F.when(F.col("n") < 1000, F.col("a")).otherwise(F.col("b")), F.lit(250.0))).alias("threshold"))
 
 
@@ -395,10 +408,10 @@ def keyword_classify(spark, sf_dir):
 
 @query("""select count(distinct o_custkey)::bigint as sources, count(*)::bigint as spectra, round(avg(o_totalprice), 6) as mean, round(quantile_cont(o_totalprice, 0.05), 6) as p05, round(quantile_cont(o_totalprice, 0.95), 6) as p95 from orders""")
 def qa_metrics(spark, sf_dir):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.95)))
-    return table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("sources"), F.count("*").alias("spectra"), r6(F.avg("o_totalprice")).alias("mean"), q.alias("q")).select(
-        "sources", "spectra", "mean", r6(F.col("q")[0]).alias("p05"), r6(F.col("q")[1]).alias("p95")
-    )
+    rows = table(spark, sf_dir, "orders")
+    q = quantiles(rows, [], "o_totalprice", [0.05, 0.95])
+    one = rows.agg(F.countDistinct("o_custkey").alias("sources"), F.count("*").alias("spectra"), r6(F.avg("o_totalprice")).alias("mean"))
+    return one.join(q, F.lit(True), "left").select("sources", "spectra", "mean", r6(F.col("q")[0]).alias("p05"), r6(F.col("q")[1]).alias("p95"))
 
 
 @query("""with n as (select user_id, row_number() over (partition by user_id order by ts, event_id) as i, value from events)
@@ -432,10 +445,3 @@ def grid_resample(spark, sf_dir):
     lo, hi = F.ceil(F.col("x") / 24) * 24, F.ceil(F.col("x1") / 24) * 24 - 24
     g = s.where(lo <= hi).withColumn("grid", F.explode(F.sequence(lo, hi, F.lit(24).cast("long"))))
     return g.select("user_id", "grid", r6(F.col("v") + (F.col("v1") - F.col("v")) * (F.col("grid") - F.col("x")) / (F.col("x1") - F.col("x"))).alias("value"))
-
-
-@query()
-def holdout_split(spark, sf_dir):
-    """A fifth of the rows, by the rank of a seeded hash: distributed, and the same on each run."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.xxhash64("vec_id", F.lit(0)).alias("h"))
-    return rows.select("vec_id", F.when(F.pmod("h", F.lit(1000)) < 200, "test").otherwise("train").alias("part"))

@@ -12,18 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import estimators
 from ..operators.knn import knn
-
-CHUNK_BYTES = 64 << 20
-
-
-def chunk_rows(width_in: int, width_out: int, itemsize: int = 8, budget: int = CHUNK_BYTES) -> int:
-    """Rows of input and output together that fit the budget; one at least."""
-    return max(1, budget // max(1, (width_in + width_out) * itemsize))
-
+from .chunks import chunk_rows
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset (one machine), in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prismora-")
+    """A new folder in spark.checkpoint.dir. Unset, it is an error on a cluster; on local[n] a temporary folder is made."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="prismora-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
