@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .whittaker import TUKEY, smooth
+
 
 def fill_gaps(y: np.ndarray, max_missing: int = 8, max_run: int = 8) -> np.ndarray | None:
     """Linear inside, held at the edges; None with under two values or too many or too long internal gaps."""
@@ -18,6 +20,12 @@ def fill_gaps(y: np.ndarray, max_missing: int = 8, max_run: int = 8) -> np.ndarr
     return np.interp(np.arange(len(y)), at, y[at])
 
 
+def fill_linear(y: np.ndarray) -> np.ndarray:
+    """Missing places on the line between their neighbours, edges held; as it is with under two values."""
+    at = np.flatnonzero(np.isfinite(y))
+    return np.interp(np.arange(len(y)), at, y[at]) if len(at) >= 2 else np.array(y, float)
+
+
 def local_deviation(y: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Interpolation between the values `pad` places away, and the distance from it; NaN where a value is missing."""
     line = np.full(len(y), np.nan)
@@ -53,37 +61,19 @@ def extend_tail(y: np.ndarray, start: int, fit: int, threshold: float) -> np.nda
     return y
 
 
-def whittaker(y: np.ndarray, strength: float = 100.0, rounds: int = 8, cut: float = 4.685) -> tuple[np.ndarray, np.ndarray]:
-    """Smooth of least squares plus `strength` times squared second differences, Tukey-weighted by residual over MAD.
-
-    Missing values weigh nothing. Gives the smooth and the weights; with under three values, the input and its weights.
-    """
-    known = np.isfinite(y)
-    if known.sum() < 3:
-        return np.array(y, float), known.astype(float)
-    v = np.where(known, y, 0.0)
-    d = np.diff(np.eye(len(y)), 2, axis=0)
-    penalty = strength * d.T @ d
-    w = known.astype(float)
-    for _ in range(rounds):
-        z = np.linalg.solve(np.diag(w) + penalty, w * v)
-        r = v - z
-        scale = 1.4826 * np.median(np.abs(r[known] - np.median(r[known])))
-        if scale <= 1e-12:
-            break
-        u = np.clip(np.abs(r) / (cut * scale), 0, 1)
-        new = known * (1 - u * u) ** 2
-        if np.count_nonzero(new) < 3:
-            break
-        w = new
-    return z, w
+def whittaker(y: np.ndarray, strength: float = 100.0, rounds: int = 8, cut: float = TUKEY) -> tuple[np.ndarray, np.ndarray]:
+    """Smooth and weights of one series, see whittaker.py."""
+    z, w = smooth(np.asarray(y, float)[None], strength, rounds, cut)
+    return z[0], w[0]
 
 
 def replace_outliers(y: np.ndarray, threshold: float, weight: float = 0.1, strength: float = 100.0) -> np.ndarray:
-    """Values of low robust weight that are further than the threshold from the smooth become the smooth."""
-    z, w = whittaker(y, strength)
+    """Values of low robust weight that are further than the threshold from the smooth become the smooth; y: a series, or a matrix of them."""
+    rows = np.atleast_2d(np.asarray(y, float))
+    z, w = smooth(rows, strength)
     with np.errstate(invalid="ignore"):
-        return np.where((w < weight) & (np.abs(y - z) > threshold), z, y)
+        out = np.where((w < weight) & (np.abs(rows - z) > threshold), z, rows)
+    return out if np.ndim(y) == 2 else out[0]
 
 
 def parse_number(c: Column) -> Column:

@@ -11,13 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import median_and_mad, quantiles
+
 FLAT = 1e-6
 
 
 def robust_scale(long: DataFrame, key: str, value: str) -> DataFrame:
     """key, center (median), scale: 1.4826 * MAD, or the standard deviation where that is flat, or 1."""
-    center = long.groupBy(key).agg(F.median(value).alias("center"), F.stddev_pop(value).alias("sd"))
-    off = long.join(center, key).groupBy(key, "center", "sd").agg((F.median(F.abs(F.col(value) - F.col("center"))) * 1.4826).alias("mad"))
+    center = median_and_mad(long, [key], value, 0.0).withColumnRenamed("median", "center")
+    off = center.join(long.groupBy(key).agg(F.stddev_pop(value).alias("sd")), key)
     return off.select(key, "center", F.when(F.col("mad") > FLAT, F.col("mad")).when(F.col("sd") > FLAT, F.col("sd")).otherwise(1.0).alias("scale"))
 
 
@@ -69,7 +71,7 @@ def kmeans(df: DataFrame, column: str, clusters: int, seed: int) -> DataFrame:
 
 def cluster_outliers(df: DataFrame, cluster: str, distance: str) -> DataFrame:
     """df with threshold max(P99, median + 4 * 1.4826 * MAD, 1e-6) of its cluster and score distance / threshold."""
-    known = df.groupBy(cluster).agg(F.median(distance).alias("mid"), F.percentile(distance, F.lit(0.99)).alias("p99"))
-    off = df.join(known, cluster).groupBy(cluster, "mid", "p99").agg((F.median(F.abs(F.col(distance) - F.col("mid"))) * 1.4826).alias("mad"))
-    limit = off.select(cluster, F.greatest("p99", F.col("mid") + 4 * F.col("mad"), F.lit(1e-6)).alias("threshold"))
+    mid = median_and_mad(df, [cluster], distance, 0.0)
+    p99 = quantiles(df, [cluster], distance, [0.99]).select(cluster, F.col("q")[0].alias("p99"))
+    limit = mid.join(p99, cluster).select(cluster, F.greatest("p99", F.col("median") + 4 * F.col("mad"), F.lit(1e-6)).alias("threshold"))
     return df.join(limit, cluster).withColumn("score", F.col(distance) / F.col("threshold"))

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import series as S
+from ..functions.whittaker import smooth
 from ..operators import series, statistics
+from ..operators.quantiles import quantiles
 from .catalogue import _LONG, _long, query, r6, table
 
 
@@ -22,8 +24,7 @@ def robust_scaling(spark, sf_dir):
 
 @query(_LONG + " select label, pos::bigint as pos, round(median(v), 6) as mid, round(quantile_cont(v, 0.1), 6) as low, round(quantile_cont(v, 0.9), 6) as high from l group by all")
 def landcover_percentiles(spark, sf_dir):
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    rows = _long(spark, sf_dir).groupBy("label", "pos").agg(q.alias("q"))
+    rows = quantiles(_long(spark, sf_dir), ["label", "pos"], "v", [0.5, 0.1, 0.9])
     return rows.select("label", "pos", *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(["mid", "low", "high"])])
 
 
@@ -105,13 +106,13 @@ def tail_repair(spark, sf_dir):
 @query()
 def whittaker_smooth(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return series.mapped(rows, "embedding", lambda y: S.whittaker(y)[0]).select("vec_id", "values")
+    return series.mapped(rows, "embedding", lambda y: smooth(y)[0], whole=True).select("vec_id", "values")
 
 
 @query()
 def outlier_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return series.mapped(rows, "embedding", partial(S.replace_outliers, threshold=0.05)).select("vec_id", "values")
+    return series.mapped(rows, "embedding", partial(S.replace_outliers, threshold=0.05), whole=True).select("vec_id", "values")
 
 
 @query("""select l_returnflag, count(*) filter (where l_shipdate <= timestamp '1994-06-01' or l_quantity >= 40)::bigint as kept, round(avg((l_shipdate <= timestamp '1994-06-01' or l_quantity >= 40)::int), 6) as kept_fraction from lineitem group by all""")

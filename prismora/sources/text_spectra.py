@@ -1,24 +1,19 @@
-"""Raw text spectra, alone or in (nested) ZIP archives: one row per spectrum, and one failure row per unreadable file.
+"""Spectra in text files: keyed headers with pairs, bare value lists, pairs, and tables in five layouts.
 
-Files are read by Spark's binaryFile source, so any store works; each file is parsed in one task, files in parallel.
-The first layout that yields a spectrum wins: key-value header with pairs, then pairs, then tables (long, one row per
-spectrum, or one column per spectrum).
+A file is a list of lines; the first layout that yields a spectrum wins. Tables are parsed as CSV, with quotes, after
+comments are taken out; the same table layouts serve spreadsheets and data frames, which come as rows of cells.
 """
 
 from __future__ import annotations
 
-import io
+import csv
+import math
 import re
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-
-# Names and patterns of the file formats.
+# Names, patterns and hints of the file formats and sources.
 WAVELENGTH_COLUMNS = ("wavelength", "wavelength_nm", "lambda", "wl", "wvl")
 VALUE_COLUMNS = ("r", "reflectance", "value", "y", "response")
 SAMPLE_COLUMNS = (
@@ -28,9 +23,15 @@ SAMPLE_COLUMNS = (
 LABELS = (r"(?:x|wl|nm_)?(\d+(?:\.\d+)?)", r"spc\.?(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*(?:nm|nanometers?)?")
 TOKEN = r"(?<!\d)(\d{3,4}(?:\.\d+)?)(?!\d)"
 MISSING = ("", "na", "nan", "n/a", "null", "none")
-
-SCHEMA = "input_path string, parser string, sample_name string, wavelengths_nm array<double>, values array<double>, metadata map<string,string>, value_scale_hint double, reason string"
-TEXT_SUFFIXES = (".txt", ".tab", ".csv")
+AUXILIARY = ("std", "stdv", "stdev", "stddev", "standev", "stderr", "uncert", "uncertainty", "error", "err", "variance", "var", "sigma", "rmse", "mad")
+AUXILIARY_TOKEN = r"[a-z]+(?:\d+[a-z]+)?|\d+"
+SCALE_HINTS = {"understory_estonia_czech": 1.0, "ossl": 100.0, "ghisacasia_v001": 100.0, "ngee_arctic_leaf_reflectance_transmittance_barrow_2014_2016": 100.0}
+PACKAGE_SOURCE, PACKAGE_FILE = "hyspiri_ground_targets", "uw-bnl_nasa_hyspiri_airborne_campaign_ground_cal_target_spectra_spectral_measurements.csv"
+DIGITS_SOURCE = "cabo_leaf_v2"
+PAIR_WORDS = ("reflectance", "response", "value", "rrs", "refl")
+DELETED = 1e20  # values beyond are marks of deleted channels
+LEAST_RECORD, FIRST_RECORD_NM = 1000, 350
+PREVIEW = 80
 
 
 @dataclass
@@ -41,13 +42,17 @@ class Spectrum:
     values: list[float]
     metadata: dict[str, str] = field(default_factory=dict)
     value_scale_hint: float | None = None
+    part: str = ""  # what of the file it comes from, such as a sheet
+
+
+Rows = Sequence[Sequence[object]]
 
 
-def bare(cell: str) -> str:
-    return cell.strip().strip("\"'")
+def bare(cell: object) -> str:
+    return "" if cell is None else str(cell).strip().strip("\"'").strip()
 
 
-def number(cell: str) -> float | None:
+def number(cell: object) -> float | None:
     s = bare(cell).removesuffix("%").strip()
     if s.lower() in MISSING:
         return None
@@ -57,13 +62,30 @@ def number(cell: str) -> float | None:
         return None
 
 
-def wavelength(label: str) -> float | None:
+def wavelength(label: object) -> float | None:
     """The wavelength a header cell names, 100 to 3000 nm: the whole label, or else its last number of 3 or 4 digits."""
     s = bare(label)
     whole = [m[1] for p in LABELS if (m := re.fullmatch(p, s, re.I))]
     return next((w for w in map(float, whole + re.findall(TOKEN, s)[::-1]) if 100 <= w <= 3000), None)
 
 
+def axis_name(label: object) -> bool:
+    s = bare(label).lower()
+    return s in WAVELENGTH_COLUMNS or s.startswith("wavelength")
+
+
+def auxiliary(label: object) -> bool:
+    """Does the label name a deviation or error and not a spectrum?"""
+    return any(t in AUXILIARY for t in re.findall(AUXILIARY_TOKEN, bare(label).lower()))
+
+
+def spectral(source: str, label: object, nm: float) -> bool:
+    """May a header cell that names a wavelength hold a band of this source?"""
+    if auxiliary(label):
+        return False
+    return source != DIGITS_SOURCE or (bare(label).lower().replace(".", "", 1).isdigit() and 350 <= nm <= 2500)
+
+
 def decoded(content: bytes) -> str:
     for encoding in ("utf-8-sig", "latin-1"):
         try:
@@ -73,13 +95,65 @@ def decoded(content: bytes) -> str:
     return ""
 
 
+def stem_of(path: str) -> str:
+    return re.sub(r"(?<=.)\.[^.]*$", "", re.split(r"/|::", path)[-1])
+
+
 def nanometres(w: list[float], unit: str) -> list[float]:
-    u, top = unit.lower(), max(w)
-    factor = 1e3 if "micro" in u else 1.0 if "nano" in u or u == "nm" else 1e9 if u in ("m", "meter", "meters") or top <= 1e-5 else 1e3 if top <= 10 else 1.0
+    u, top = (unit or "").strip().lower(), max(w, default=1000.0)
+    if "micro" in u or u in ("um", "µm"):
+        factor = 1e3
+    elif "nano" in u or u == "nm":
+        factor = 1.0
+    elif "meter" in u or u == "m" or top <= 1e-5:
+        factor = 1e9
+    else:
+        factor = 1e3 if top <= 10 else 1.0
     return [x * factor for x in w]
 
 
-def pairs_of(lines: list[str]) -> list[tuple[float, float]]:
+def nearest_rank(values: Sequence[float], share: float) -> float:
+    """The value at the rank (n - 1) * share, rounded half to even."""
+    ordered = sorted(values)
+    return ordered[max(0, min(len(ordered) - 1, round((len(ordered) - 1) * share)))]
+
+
+def scale_hint(source: str, path: str, values: Sequence[float]) -> float | None:
+    """The scale that is known of a source's tables of one row a spectrum."""
+    if source in SCALE_HINTS:
+        return SCALE_HINTS[source]
+    known = [abs(v) for v in values if math.isfinite(v)]
+    if source == PACKAGE_SOURCE and PACKAGE_FILE in path and known:
+        top = nearest_rank(known, 0.99)
+        return 1.0 if top <= 1.5 else 100.0 if top <= 150.0 else None
+    return None
+
+
+def sample_name(cells: dict[str, object], nth: int) -> str:
+    """The preferred column that has a value, else the first cell that is no band or value, else a number."""
+    low = {bare(k).lower(): k for k in cells}
+    for c in (*[low[c] for c in SAMPLE_COLUMNS if c in low], *[k for k in cells if wavelength(k) is None and not axis_name(k) and bare(k).lower() not in VALUE_COLUMNS]):
+        text = "" if cells[c] is None else str(cells[c]).strip()
+        if text and text.lower() not in MISSING:
+            return text
+    return f"spectrum_{nth:05d}"
+
+
+# text layouts
+
+
+def bare_values(lines: list[str], stem: str, axis: list[float] | None = None) -> list[Spectrum]:
+    """A title with a record mark, then one value a line, on the archive's wavelengths or from 350 nm by 1."""
+    title = lines[0].strip() if lines else ""
+    values = [number(s) for s in lines[1:] if s.strip()] if "Record=" in title else []
+    if len(values) < LEAST_RECORD:
+        return []
+    w = axis if axis is not None and len(axis) == len(values) else [float(FIRST_RECORD_NM + k) for k in range(len(values))]
+    kept = [math.nan if v is None or abs(v) > DELETED else v for v in values]
+    return [Spectrum("usgs_ascii", title.split(":", 1)[-1].strip() or stem, w, kept, {"title": title})]
+
+
+def pairs_of(lines: Iterable[str]) -> list[tuple[float, float]]:
     rows = ([c for c in re.split(r"[\s,;]+", s.strip()) if c] for s in lines)
     read = ((number(r[0]), number(r[1])) for r in rows if len(r) >= 2)
     return [p for p in read if None not in p]
@@ -94,131 +168,183 @@ def keyed(lines: list[str], stem: str) -> list[Spectrum]:
     if not meta or not found:
         return []
     w, v = map(list, zip(*found))
-    return [Spectrum("keyed_text", meta.get("Name", stem), nanometres(w, meta.get("X Units", "")), v, meta, 100.0 if "percent" in meta.get("Y Units", "").lower() else None)]
+    return [Spectrum("ecostress_txt", meta.get("Name", stem), nanometres(w, meta.get("X Units", "")), v, meta, 100.0 if "percent" in meta.get("Y Units", "").lower() else None)]
 
 
-def cells_of(lines: list[str]) -> list[list[str]]:
-    head = "\n".join(lines[:40])
-    mark = max(",;\t", key=head.count)
-    return [[bare(c) for c in s.split(mark)] for s in lines if s.strip()]
+def pairs(lines: list[str], stem: str) -> list[Spectrum]:
+    """A header among the first five lines that names wavelength and value, then pairs."""
+    plain = [s.strip() for s in lines if s.strip()]
+    at = next((i for i, s in enumerate(plain[:5]) if "wavelength" in s.lower() and any(t in s.lower() for t in PAIR_WORDS)), None)
+    found = pairs_of(plain[at + 1 :]) if at is not None and len(plain) >= 3 else []
+    if not found:
+        return []
+    w, v = map(list, zip(*found))
+    return [Spectrum("text_pairs", plain[0] if at else stem, nanometres(w, "nm" if "nm" in plain[at].lower() else ""), v, {"header": plain[at]})]
 
 
-def tabular(lines: list[str], stem: str) -> list[Spectrum]:
-    rows = cells_of(lines)
-    names_axis = lambda c: c.lower() in WAVELENGTH_COLUMNS or c.lower().startswith("wavelength")
-    at = next((i for i, r in enumerate(rows[:80]) if any(map(names_axis, r)) or sum(wavelength(c) is not None for c in r) >= 3), None)
-    if at is None:
+def unnamed_pairs(lines: list[str], stem: str) -> list[Spectrum]:
+    """Nothing but pairs."""
+    plain = [s for s in lines if s.strip()]
+    found = pairs_of(plain)
+    if len(plain) < 3 or len(found) < max(2, len(plain) - 5):
         return []
-    header, body = rows[at], [r + [""] * (len(rows[at]) - len(r)) for r in rows[at + 1 :]]
-    low = [c.lower() for c in header]
-    sample = next((low.index(c) for c in SAMPLE_COLUMNS if c in low), None)
-    axis = next((i for i, c in enumerate(header) if names_axis(c)), None)
-    value = next((low.index(c) for c in VALUE_COLUMNS if c in low), None)
-    if axis == 0 and sum(wavelength(c) is not None for c in header[1:]) >= 3:  # header of two rows: names, then the axis' name and the wavelengths
-        names = rows[at - 1] if at else [""]
-        header = ["sample_name" if not names[0] or names_axis(names[0]) else names[0], *header[1:]]
-        sample, axis = 0, None
-    if axis is not None and value is not None and sample is not None:  # runs of equal samples are spectra
-        out = []
-        for name, run in groupby(body, key=lambda r: r[sample]):
-            points = [p for p in ((number(r[axis]), number(r[value])) for r in run) if None not in p]
-            if len(points) >= 2:
-                out.append(Spectrum("table_long", name or stem, *map(list, zip(*points))))
-        return out
-    if axis is not None:  # one column per spectrum
-        out = []
-        for i, name in enumerate(header):
-            points = [p for p in ((number(r[axis]), number(r[i])) for r in body) if None not in p] if i != axis else []
-            if len(points) >= 2:
-                out.append(Spectrum("table_columns", name or stem, nanometres([p[0] for p in points], ""), [p[1] for p in points]))
-        return out
-    bands = [(i, w) for i, c in enumerate(header) if (w := wavelength(c)) is not None]
-    other = [i for i in range(len(header)) if i not in dict(bands)]
-    out = []
-    for k, r in enumerate(body):
-        points = [(w, v) for i, w in bands if (v := number(r[i])) is not None]
-        if len(points) >= 2:
-            name = (r[sample] if sample is not None else "") or next((r[i] for i in other if r[i]), "") or f"spectrum_{k + 1:05d}"
-            out.append(Spectrum("table_rows", name, *map(list, zip(*points)), {header[i]: r[i] for i in other}))
-    return out
+    w, v = map(list, zip(*found))
+    return [Spectrum("text_pairs", stem, nanometres(w, ""), v)]
 
 
-def parsed(content: bytes, path: str) -> list[Spectrum]:
-    text = re.sub(r"/\*.*?\*/", "", decoded(content), flags=re.S)
-    lines = [s for s in text.splitlines() if not s.lstrip().startswith("#")]
-    stem = re.sub(r"\.[^.]*$", "", re.split(r"/|::", path)[-1])
-    plain = [s for s in lines if s.strip()]
-    found = keyed(lines, stem)
-    if not found and plain and len(cells_of(plain[:1])[0]) <= 2 and len(plain) >= 3:
-        points = pairs_of(plain)
-        if len(points) >= max(2, len(plain) - 5):
-            w, v = map(list, zip(*points))
-            found = [Spectrum("pairs_text", stem, nanometres(w, ""), v)]
-    return found or tabular(lines, stem)
+# table layouts
 
 
-def members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    if not path.lower().endswith(".zip"):
-        yield path, content
-        return
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for info in sorted(z.infolist(), key=lambda i: i.filename):
-            if not info.is_dir() and info.filename.lower().endswith((*TEXT_SUFFIXES, ".zip")):
-                yield from members(f"{path}::{info.filename}", z.read(info))
+def without_comments(lines: Iterable[str]) -> list[str]:
+    out, inside = [], False
+    for line in lines:
+        s = line.strip()
+        if inside:
+            inside = "*/" not in s
+        elif s.startswith("/*"):
+            inside = "*/" not in s
+        elif not s.startswith("#"):
+            out.append(line)
+    return out
 
 
-def _rows(path: str, content: bytes) -> Iterator[tuple]:
+def cells_of(lines: list[str]) -> list[list[str]]:
+    """Rows of cells by the delimiter that the csv sniffer finds, or else the most frequent one."""
+    head = "\n".join(lines[:PREVIEW])
     try:
-        for at, data in members(path, content):
-            found = parsed(data, at) if at.lower().endswith(TEXT_SUFFIXES) else []
-            for s in found:
-                yield at, s.parser, s.sample_name, s.wavelengths_nm, s.values, s.metadata, s.value_scale_hint, None
-            if not found:
-                yield at, None, None, None, None, None, None, "no spectra found"
-    except zipfile.BadZipFile as e:
-        yield path, None, None, None, None, None, None, str(e)
+        mark = csv.Sniffer().sniff(head, delimiters=",;\t").delimiter
+    except csv.Error:
+        mark = ";" if head.count(";") > head.count(",") else "\t" if head.count("\t") > head.count(",") else ","
+    return [r for r in csv.reader([s for s in lines if s.strip()], delimiter=mark) if r]
 
 
-def read_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of SCHEMA for every file under the path; `reason` is set where a file gave no spectrum."""
+def row_wide(header: Sequence[object], body: Rows, source: str, path: str, parser: str) -> list[Spectrum]:
+    """One spectrum a row, its bands in the columns whose header names a wavelength."""
+    names = [bare(c) for c in header]
+    bands = [(i, w) for i, c in enumerate(names) if (w := wavelength(c)) is not None and spectral(source, c, w)]
+    band = {i for i, _ in bands}
+    out = []
+    for nth, r in enumerate(body, 1):
+        cell = lambda i: r[i] if i < len(r) else None
+        points = [(w, v) for i, w in bands if (v := number(cell(i))) is not None]
+        if not points:
+            continue
+        meta = {names[i]: str(cell(i)).strip() for i in range(len(names)) if i not in band and cell(i) is not None and str(cell(i)).strip()}
+        w, v = map(list, zip(*points))
+        out.append(Spectrum(parser, sample_name({names[i]: cell(i) for i in range(len(names))}, nth), w, v, meta, scale_hint(source, path, v)))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for at, content in zip(d["path"], d["content"]):
-                yield pd.DataFrame(list(_rows(at, content)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+def column_wide(header: Sequence[object], body: Rows, source: str, parser: str) -> list[Spectrum]:
+    """Wavelengths in the first column, one spectrum a further column; deviations and errors are none."""
+    names = [bare(c) for c in header]
+    picked = [i for i in range(1, len(names)) if not auxiliary(names[i]) and (source != PACKAGE_SOURCE or "reflect" in names[i].lower())]
+    out = []
+    for nth, i in enumerate(picked or range(1, len(names)), 1):
+        points = [p for r in body if i < len(r) and (p := (number(r[0]), number(r[i]))) and None not in p]
+        if points:
+            w, v = map(list, zip(*points))
+            percent = source == PACKAGE_SOURCE and i in picked and ("%" in names[i] or "percent" in names[i].lower())
+            out.append(Spectrum(parser, names[i] or f"unnamed_sample_{nth:05d}", w, v, {}, 100.0 if percent else None))
+    return out
 
 
-def scale_of(values: np.ndarray, hint: float | None) -> float:
+def long_table(header: Sequence[object], body: Rows, parser: str) -> list[Spectrum]:
+    """One value a row; a run of rows of one sample is a spectrum, and without a sample column each row is its own."""
+    names = [bare(c) for c in header]
+    low = [c.lower() for c in names]
+    axis = next(i for i, c in enumerate(names) if axis_name(c))
+    value = next(low.index(c) for c in VALUE_COLUMNS if c in low)
+    sample = next((low.index(c) for c in SAMPLE_COLUMNS if c in low), None)
+    rows = []
+    for nth, r in enumerate(body, 1):
+        cell = lambda i: r[i] if i < len(r) else None
+        point = (number(cell(axis)), number(cell(value)))
+        if None not in point:
+            name = "" if sample is None or cell(sample) is None else str(cell(sample)).strip()
+            rows.append((name or f"spectrum_{nth:05d}", point, {names[i]: str(cell(i)).strip() for i in range(len(names)) if i not in (axis, value) and cell(i) is not None and str(cell(i)).strip()}))
+    out = []
+    for name, run in groupby(rows, key=lambda r: r[0]):
+        held = list(run)
+        w, v = map(list, zip(*[p for _, p, _ in held]))
+        out.append(Spectrum(parser, name, w, v, held[0][2]))
+    return out
+
+
+def tabular(rows: Rows, source: str = "", path: str = "", prefix: str = "csv") -> list[Spectrum]:
+    """Spectra of a table by the layout of its header, the first of 80 rows that begins with an axis' name or names three wavelengths."""
+    if not rows:
+        return []
+    hits = lambda r: sum(wavelength(c) is not None for c in r)
+    first = lambda r: bool(r) and axis_name(r[0])
+    columns, wide, long = f"{prefix}_column_wide", f"{prefix}_row_wide", f"{prefix}_long_table"
+    if source == PACKAGE_SOURCE:
+        at = next((i for i, r in enumerate(rows) if first(r) and any("reflect" in bare(c).lower() for c in r[1:])), None)
+        if at is not None:
+            return column_wide(rows[at], rows[at + 1 :], source, columns)
+    at = next((i for i, r in enumerate(rows[:PREVIEW]) if first(r) or hits(r) >= 3), 0)
+    header, body = rows[at], rows[at + 1 :]
+    # headers of two rows: names in the first, then the axis' name and the wavelengths
+    if at and first(header) and hits(header) >= 3 and bare(rows[at - 1][0]) and not axis_name(rows[at - 1][0]):
+        return row_wide([rows[at - 1][0], *header[1:]], body, source, path, wide)
+    if hits(header) < 3 and body and first(body[0]) and hits(body[0]) >= 3:
+        return row_wide([bare(header[0]) or "sample_name", *body[0][1:]], body[1:], source, path, wide)
+    if first(header) and hits(header) <= 1:
+        return column_wide(header, body, source, columns)
+    if any(map(axis_name, header)) and any(bare(c).lower() in VALUE_COLUMNS for c in header):
+        return long_table(header, body, long)
+    return row_wide(header, body, source, path, wide) if hits(header) >= 3 else []
+
+
+def textual(lines: list[str], path: str, source: str = "", axis: list[float] | None = None) -> list[Spectrum]:
+    """The first layout that yields a spectrum."""
+    stem = stem_of(path)
+    return bare_values(lines, stem, axis) or keyed(lines, stem) or pairs(lines, stem) or tabular(cells_of(without_comments(lines)), source, path) or unnamed_pairs(without_comments(lines), stem)
+
+
+def parsed(content: bytes, path: str, source: str = "") -> list[Spectrum]:
+    return textual(decoded(content).splitlines(), path, source)
+
+
+def archive_axis(lines: list[str]) -> list[float] | None:
+    """Wavelengths of an archive's bare value lists, in micrometres there."""
+    values = [number(s) for s in lines[1:] if s.strip()] if lines and "Record=" in lines[0] else []
+    if len(values) < LEAST_RECORD or any(v is None or not math.isfinite(v) for v in values):
+        return None
+    return nanometres(values, "micrometers")
+
+
+def median_spacing(w: Sequence[float]) -> float | None:
+    """Median of the positive steps; None without one."""
+    steps = sorted(b - a for a, b in zip(w, w[1:]) if b > a)
+    n = len(steps)
+    return None if not n else steps[n // 2] if n % 2 else (steps[n // 2 - 1] + steps[n // 2]) / 2
+
+
+def scale_of(values: Sequence[float], hint: float | None) -> float:
+    """The hint if positive, else by the largest absolute value."""
     if hint is not None and hint > 0:
         return hint
-    top = np.nanmax(np.abs(values))
+    top = max((abs(v) for v in values), default=0.0)
     return next((s for limit, s in ((1.5, 1.0), (100.5, 100.0), (1000.5, 1000.0), (20000.5, 10000.0)) if top <= limit), 1.0)
 
 
-def on_grid(spectra: DataFrame, low: int = 400, high: int = 2500) -> DataFrame:
-    """input_path, sample_name, values on the 1 nm grid (null outside the native range), normalized_points.
-
-    Pairs that aren't finite go, of equal wavelengths the last value stays, values are divided by their scale.
-    Spectra with fewer than two wavelengths are dropped.
-    """
-    grid = np.arange(low, high + 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            out = []
-            for path, name, w, v, hint in d.itertuples(index=False):
-                last = {a: b for a, b in zip(w, v) if a is not None and b is not None and np.isfinite(a) and np.isfinite(b)}
-                if len(last) < 2:
-                    continue
-                x = np.array(sorted(last))
-                y = np.array([last[a] for a in x])
-                y = np.interp(grid, x, y / scale_of(y, None if pd.isna(hint) else hint))
-                inside = (grid >= x[0]) & (grid <= x[-1])
-                out.append((path, name, [float(a) if ok else None for a, ok in zip(y, inside)], int(inside.sum())))
-            yield pd.DataFrame(out, columns=["input_path", "sample_name", "values", "normalized_points"])
-
-    known = spectra.where("reason is null").select("input_path", "sample_name", "wavelengths_nm", "values", "value_scale_hint")
-    return known.mapInPandas(run, "input_path string, sample_name string, values array<double>, normalized_points long")
+def clean(w: Iterable[float | None], v: Iterable[float | None], hint: float | None = None) -> tuple[list[float], list[float], float]:
+    """(wavelengths, values over the scale, scale): finite pairs by wavelength; of wavelengths nearer than 1e-9 the last value stays."""
+    points = sorted(((a, b) for a, b in zip(w, v) if a is not None and b is not None and math.isfinite(a) and math.isfinite(b)), key=lambda p: p[0])
+    if len(points) < 2:
+        raise ValueError("spectrum has fewer than two finite wavelength/value pairs")
+    xs: list[float] = []
+    ys: list[float] = []
+    for a, b in points:
+        if xs and abs(a - xs[-1]) <= 1e-9:
+            ys[-1] = b
+        else:
+            xs.append(a)
+            ys.append(b)
+    if len(xs) < 2:
+        raise ValueError("spectrum collapsed to fewer than two unique wavelengths")
+    scale = scale_of(ys, hint)
+    return xs, [y / scale for y in ys], scale
+
+
