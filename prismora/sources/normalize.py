@@ -1,7 +1,8 @@
 """Raw source files to normalised tables: every file is parsed in one task, spectra are cleaned and put on the grid.
 
 Files are read by Spark's binaryFile source, so any store works. A file that can't be read, or holds no spectrum, is a
-failure row; a spectrum that can't be normalised is one too. Headers of binary libraries meet their data by a join.
+failure row; a spectrum that can't be normalised is one too. Files of no bytes are passed over by the file source and
+leave no row. Headers of binary libraries meet their data by a join.
 """
 
 from __future__ import annotations
@@ -195,12 +196,13 @@ def normalize(spark: SparkSession, manifest: DataFrame, root: str, grid: Grid =
     results = spark.read.schema("source_id string, status string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "fetch-result.json").json(root)
     wanted = manifest.join(results.where("status = 'downloaded'").select("source_id").distinct(), "source_id", "left_semi").select("source_id", F.col("name").alias("source_name"), "ingest_role")
     base = root.rstrip("/")
-    tail = F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), F.lit(base.removeprefix("file://").rstrip("/") + "/"), -1)
+    tail = F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), base.removeprefix("file://").rstrip("/") + "/", -1)
     files = _with_companions(_files(spark, root)).withColumn("_tail", tail).withColumn("source_id", F.substring_index("_tail", "/", 1))
-    inside = F.substring_index("_tail", "/", -(10**6))
+    parts = F.split("_tail", "/")
     name = F.substring_index("path", "/", -1)
-    own = (F.size(F.split(inside, "/")) == 2) | (F.get(F.split(inside, "/"), F.lit(1)) == "data")
-    files = files.where(own & (name != "fetch-result.json") & ~((F.size(F.split(inside, "/")) == 2) & name.startswith("."))).join(F.broadcast(wanted.select("source_id")), "source_id", "left_semi")
+    beside = F.size(parts) == 2
+    own = beside | (F.get(parts, F.lit(1)) == "data")
+    files = files.where(own & (name != "fetch-result.json") & ~(beside & name.startswith("."))).join(F.broadcast(wanted.select("source_id")), "source_id", "left_semi")
     wave = grid.wavelengths.astype(float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,7 +266,7 @@ def write(spark: SparkSession, tables: dict[str, DataFrame], path: str, grid: Gr
         df.write.mode("overwrite").parquet(f"{path}/parquet/{name}")
     spark.range(grid.width).select((F.col("id") + grid.start).cast("double").alias("wavelength_nm"), F.concat(F.lit("nm_"), (F.col("id") + grid.start).cast("string")).alias("column_name")).write.mode("overwrite").parquet(f"{path}/parquet/wavelength_grid")
     read = lambda n: spark.read.parquet(f"{path}/parquet/{n}")
-    s = read("source_summary").agg(F.count("*"), F.count_if("normalized_spectra > 0"), F.sum("normalized_spectra"), F.sum("failure_count")).first()
+    s = read("source_summary").agg(F.count("*"), F.count_if(F.col("normalized_spectra") > 0), F.sum("normalized_spectra"), F.sum("failure_count")).first()
     parsers = {r["parser"]: r["count"] for r in read("spectra_metadata").groupBy("parser").count().orderBy("parser").collect()}
     done = {"downloaded_sources": s[0], "normalized_sources": s[1], "normalized_spectra": s[2] or 0, "failure_rows": s[3] or 0, "target_start_nm": grid.start, "target_end_nm": grid.end, "target_step_nm": 1, "parser_counts": parsers}
     write_text(spark, f"{path}/build_summary.json", json.dumps(done, sort_keys=True, indent=2))

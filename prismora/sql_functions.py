@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .functions.series import fill_linear
 from .functions.whittaker import smooth
 from .mapping import kernels
 
+DOUBLES = ArrayType(DoubleType())
 SQL = {
     "srf_average": ("v array<double>, w array<double>", "double", "try_divide(aggregate(zip_with(v, w, (a, b) -> a * b), 0d, (s, x) -> s + x), aggregate(w, 0d, (s, x) -> s + x))"),
     "rms_distance": ("a array<double>, b array<double>", "double", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0d, (s, x) -> s + x) / size(a))"),
@@ -33,7 +35,7 @@ SQL = {
 }
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def interp_grid(w: pd.Series, v: pd.Series, grid: pd.Series) -> pd.Series:
     """Linear on the grid, null outside the range of w, which must increase."""
 
@@ -46,18 +48,18 @@ def interp_grid(w: pd.Series, v: pd.Series, grid: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(w, v, grid)])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def whittaker(v: pd.Series, strength: pd.Series) -> pd.Series:
     """Robust smooth of each series."""
     return pd.Series([None if y is None else smooth(np.array(y, float)[None], float(s))[0][0].tolist() for y, s in zip(v, strength)])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def fill_gaps_linear(v: pd.Series) -> pd.Series:
     return pd.Series([None if y is None else fill_linear(np.array(y, float)).tolist() for y in v])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def simplex_weights(near: pd.Series, q: pd.Series) -> pd.Series:
     """Mixture weights of neighbours (array of arrays) for a query."""
 

@@ -159,8 +159,8 @@ def test_files(spark, tmp_path):
     sensors = read_sensor_files(spark, f"{root}/srf", ["sensor_a"])
     with pytest.raises(CodedError, match="could not be found"):
         read_sensor_files(spark, f"{root}/srf", ["nobody"])
-    for _ in range(2):  # the second replaces the first
-        p = build(spark, rows, sensors.values(), f"{root}/prepared", about={"x": 1})
+    (tmp_path / "prepared").mkdir()  # is replaced
+    p = build(spark, rows, sensors.values(), f"{root}/prepared", about={"x": 1})
     assert {r.row_index: (r.row_id, len(r.vnir), len(r.swir)) for r in p.library.collect()} == {k: (f"fixture_source:{n}:{n}", 601, 1701) for k, n in enumerate(LEVELS)}
     m = Mapper(f"{root}/prepared", spark, check=True)
     assert one(m, {"blue": 0.8, "swir": 0.2}, target="sensor_b", k=1)["reflectance"] == pytest.approx([0.8, 0.2], abs=1e-6)
@@ -203,6 +203,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(CodedError, match="numbered"):
         validate(opened(spark, f"{root}/prepared"), dict(manifest, row_count=5))
     assert victim.exists() and other.exists()
+    (tmp_path / "prepared" / ".manifest.json.crc").unlink(missing_ok=True)
     (tmp_path / "prepared" / "manifest.json").write_text(json.dumps(dict(manifest, schema_version="9")))
     with pytest.raises(CodedError) as e:
         opened(spark, f"{root}/prepared")
