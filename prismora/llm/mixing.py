@@ -303,7 +303,8 @@ def _filled(placed: DataFrame, sources: list[Source], seed: int) -> None:
     ranks = written(placed.select("source", "start", "size").mapInPandas(ranked, "code long, rank long, size long"), "ranks", spark)
     ranks = ranks.withColumn("bucket", F.floor(F.col("rank") / BUCKET_ROWS))
     before = Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranks.groupBy("code", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    sums = written(ranks.groupBy("code", "bucket").agg(F.sum("size").alias("words")), "sums", spark)  # dealt by bucket, not by source alone
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     left = spark.createDataFrame([(s.code, float(s.target - s.passes * s.size)) for s in sources if s.blocks], "code long, rest double")
     stop = sums.join(F.broadcast(left), "code").where("before <= rest and rest < before + words")  # a row a source
     upto = Window.partitionBy("code").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
