@@ -8,6 +8,7 @@ there when it is whole.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable, Mapping
@@ -119,6 +120,16 @@ def build(spark: SparkSession, library: DataFrame, sensors: Iterable[Sensor], pa
     return opened(spark, path)
 
 
+def build_once(spark: SparkSession, library: DataFrame, sensors: Iterable[Sensor], root: str, grid: Grid = CANONICAL, dtype: str = "float32") -> Prepared:
+    """A build in the folder of `root` that is named by a digest of rows, sensors, grid and dtype; one that is there is opened."""
+    sensors = list(sensors)
+    row = F.xxhash64(*sorted(library.columns))
+    whole = library.agg(F.count("*"), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))).first()
+    about = json.dumps([*map(str, whole), [s.as_dict() for s in sensors], str(grid), dtype], sort_keys=True)
+    path = f"{root.rstrip('/')}/{hashlib.sha256(about.encode()).hexdigest()[:24]}"
+    return opened(spark, path) if exists(spark, f"{path}/manifest.json") else build(spark, library, sensors, path, grid, dtype)
+
+
 def checksums(spark: SparkSession, path: str) -> dict[str, str]:
     """SHA-256 of every data file under the path by its relative name; files are digested where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -12,7 +12,7 @@ from prismora.errors import CodedError
 from prismora.grid import CANONICAL, Grid
 from prismora.mapping import benchmark, kernels, linear, retrieval
 from prismora.mapping.mapper import Mapper
-from prismora.mapping.prepare import build, opened, prepared, validate
+from prismora.mapping.prepare import build, build_once, opened, prepared, validate
 from prismora.mapping.zarr import write_zarr
 from prismora.operators import ann
 from prismora.sources import archive, tables
@@ -162,6 +162,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "prepared").mkdir()  # is replaced
     p = build(spark, rows, sensors.values(), f"{root}/prepared", about={"x": 1})
     assert {r.row_index: (r.row_id, len(r.vnir), len(r.swir)) for r in p.library.collect()} == {k: (f"fixture_source:{n}:{n}", 601, 1701) for k, n in enumerate(LEVELS)}
+    once = [build_once(spark, rows, sensors.values(), f"{root}/cache").library.count() for _ in range(2)]
+    assert once == [4, 4] and len(list((tmp_path / "cache").iterdir())) == 1
     m = Mapper(f"{root}/prepared", spark, check=True)
     assert one(m, {"blue": 0.8, "swir": 0.2}, target="sensor_b", k=1)["reflectance"] == pytest.approx([0.8, 0.2], abs=1e-6)
     manifest = json.loads((tmp_path / "prepared" / "manifest.json").read_text())

@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from prismora.errors import CodedError
 from prismora.operators import curation, landcover
-from prismora.plans import package, reports, source_catalogue
+from prismora.plans import package, rebuild, reports, source_catalogue
 
 META = "source_id string, source_name string, ingest_role string, spectrum_id string, sample_name string, input_path string, parser string, native_min_nm double, native_max_nm double, native_spacing_nm double, value_scale_applied double, normalized_points double"
 ROWS = [("src1", "src1_a", (0.1, 0.2, 0.3), "soil", 402.0), ("src1", "src1_b", (0.3, 0.4, 0.5), "soil", 402.0), ("src2", "src2_a", (0.9, 0.8, 0.7), "soil", 402.0), ("src3", "src3_a", (0.6, 0.6, 0.6), "urban", 2500.0), ("src4", "src4_a", (0.05, 0.06, 0.07), "", 402.0)]
@@ -118,3 +119,24 @@ def test_quality_tables(spark):
     assert q["largest_sources"].first().source_id == "src1" and q["failure_rates"].first().failure_rate == 0.5 and q["metrics"].first().sources == 4 and q["metrics"].first().p05_coverage == 1
     empty = reports.stage_report(t["metadata"], {"none": t["metadata"].limit(0)})
     assert empty["by_source"].count() == 0 and empty["overall"].count() == 0
+
+
+def test_rebuild(spark, tmp_path):
+    """All stages over a small library: a spike of one source goes, rows of short coverage go, the others stay."""
+    rng, x = np.random.default_rng(3), np.arange(2101)
+    base = 0.3 + 0.1 * np.sin(x / 300)
+    spiky = base.copy()
+    spiky[1500] += 0.4  # 1900 nm
+    rows = [("emit_x", "e1", spiky, 2101.0), ("emit_x", "e2", base, 2101.0), ("bssl", "b1", base + 0.001 * rng.normal(size=2101), 2101.0), ("bssl", "b2", base, 900.0), ("ghisacasia_v001", "g1", base, 2101.0)]
+    metadata = spark.createDataFrame([(s, s, "primary", i, i, "f", "p", 350.0, 2500.0, 1.0, 1.0, n) for s, i, _, n in rows], META).withColumn("metadata_json", F.lit("{}"))
+    spectra = spark.createDataFrame([(s, i, i, v.tolist()) for s, i, v, _ in rows], "source_id string, spectrum_id string, sample_name string, values array<double>")
+    labels = spark.createDataFrame([(s, i, i, "soil", "rule") for s, i, _, _ in rows], "source_id string, spectrum_id string, sample_name string, landcover_group string, classification_rule string")
+    summary = spark.createDataFrame([(s, 2, 0) for s in ("emit_x", "bssl", "ghisacasia_v001")], "source_id string, normalized_spectra int, failure_count int")
+    manifest = spark.createDataFrame([(s, s, "prov", "t", "1", "primary") for s in ("emit_x", "bssl", "ghisacasia_v001")], "source_id string, name string, provider string, tier string, priority string, ingest_role string")
+    made = rebuild.rebuild(spark, {"metadata": metadata, "spectra": spectra, "summary": summary, "labels": labels}, manifest, f"file://{tmp_path}/work")
+    assert package.counts(made)["total_spectra"] == 4
+    done = rebuild.affected(spark, f"file://{tmp_path}/work")
+    first = done["03_artifacts"].collect()
+    assert [(r.spectrum_id, r.repair) for r in first] == [("e1", "emit_second_absorption_interp")]
+    after = spark.read.parquet(f"file://{tmp_path}/work/03_artifacts/spectra")
+    assert after.where("spectrum_id = 'e1'").first()["values"][1500] == pytest.approx(base[1500], abs=1e-3)

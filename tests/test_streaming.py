@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from prismora.operators import estimators
 from prismora.operators.knn import knn
-from prismora.streaming.mapping import chunk_rows, map_stream, samples
+from prismora.streaming.mapping import chunk_rows, map_stream, samples, stream_samples
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -49,3 +49,16 @@ def test_samples(spark):
 def test_chunk_rows():
     assert chunk_rows(6, 2101) == (64 << 20) // (2107 * 8)
     assert chunk_rows(1 << 30, 1) == 1
+
+
+def test_stream_samples(spark, tmp_path):
+    """Samples that come interleaved over several batches are given out once, whole, as soon as they are."""
+    kind = "sample_id string, band_id string, reflectance double"
+    parts = [[("a", "b1", 0.1), ("b", "b2", 0.4), ("c", "b1", None), ("a", "zz", 9.0)], [("b", "b1", 0.3), ("c", "b2", 0.6), (None, "b1", 0.0)], [("a", "b2", 0.2), ("d", "b1", 0.7)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
+    rows = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = stream_samples(rows, ["b1", "b2"])
+    out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = {r.sample_id: (r.q, r.valid) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"a": ([0.1, 0.2], [True, True]), "b": ([0.3, 0.4], [True, True]), "c": ([None, 0.6], [False, True])}
