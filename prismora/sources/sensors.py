@@ -213,7 +213,7 @@ def known_sensor(sensor_id: str, curves: Mapping[str, tuple[Sequence[float], Seq
 
 def read_sensor_files(spark: SparkSession, path: str, wanted: Sequence[str] | None = None, grid: Grid = CANONICAL) -> dict[str, Sensor]:
     """All sensor definitions (*.json) under the path by id, read by Spark's file source; an id given twice is an error."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     out: dict[str, Sensor] = {}
     for r in files.select(F.col("_metadata.file_path").alias("path"), "value").orderBy("path").toLocalIterator():
         try:
