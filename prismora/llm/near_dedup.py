@@ -10,7 +10,8 @@
    spanning forest only, as pairs of components: no more rows than members, and no link between components is lost.
 6. The components so linked are joined once more by the two stars.
 In the first pass a candidate is dropped early only where sizes or the signature exclude the threshold; all links are
-confirmed on full shingle sets. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^6)^40 = 5e-6.
+confirmed on full shingle sets, as 64-bit hashes of the shingles (two different shingles of a pair count as one with a
+probability of 5e-20). At similarity 0.8 a pair misses all bands with probability (1 - 0.8^6)^40 = 5e-6.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing; they are kept. Repeated
 rows have the same set and so the same component. An empty table gives an empty result.
