@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from prismora.plans import catalogue
 
-QUERIES = ["knn_exact", "knn_masked", "neighbors_mean", "confidence_policy", "prototypes", "band_simulation", "build_status", "run_length_groups", "robust_z_topn", "grid_resample", "source_summary", "coverage_filter"]
+QUERIES = ["knn_exact", "knn_masked", "neighbors_mean", "confidence_policy", "prototypes", "band_simulation", "build_status", "run_length_groups", "robust_z_topn", "grid_resample", "source_summary", "coverage_filter", "map_target", "map_full"]
 
 
 def main() -> None:
