@@ -30,7 +30,8 @@ from .tokens import Memo, default_path, default_pattern, ranks
 
 LONG = 64
 MEMO = 350_000
-SQUARES = 4_000_000  # sum of the squared lengths of the pieces in one query
+SQUARES = 2_000_000  # sum of the squared lengths of the pieces in one query
+IDS = 400_000  # ids of the pieces that one query decodes
 STRETCH = 200_000  # pieces of a text that are coded at once
 
 _ENCODE = """
@@ -102,9 +103,13 @@ class Coder:
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
         out = [b""] * len(ids)
         full = [k for k, x in enumerate(ids) if x]
-        self._put("coded", word=pa.array(full, pa.int32()), ids=pa.array([ids[k] for k in full], pa.list_(pa.int32())))
-        for k, text in self.db.execute(_DECODE).fetchall():
-            out[k] = bytes.fromhex(text)
+        while full:
+            ends = np.cumsum([len(ids[k]) for k in full])
+            group = full[: max(1, int(np.searchsorted(ends, IDS, "right")))]
+            full = full[len(group) :]
+            self._put("coded", word=pa.array(group, pa.int32()), ids=pa.array([ids[k] for k in group], pa.list_(pa.int32())))
+            for k, text in self.db.execute(_DECODE).fetchall():
+                out[k] = bytes.fromhex(text)
         return out
 
     def batch(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
