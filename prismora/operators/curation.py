@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import PREPARE, CodedError
-from .indexing import with_index
 
 KEY = ["source_id", "spectrum_id"]
 GRID_POINTS = 2101
@@ -135,11 +134,15 @@ def annotated(manifest: DataFrame, sources: Iterable[str], note: str = EXCLUDED_
 
 
 def merged(roots: Sequence[DataFrame], key: Sequence[str] | None = KEY) -> tuple[DataFrame, DataFrame]:
-    """(rows, duplicates): roots of equal columns one after another; of rows with one key the first root's first stays."""
+    """(rows, duplicates): roots of equal columns one after another; of rows with one key the first root's first stays.
+
+    A row's place is its partition and its place there, from one evaluation: a root dealt by sampled ranges has other
+    partitions the next time.
+    """
     head = roots[0].columns
     if any(r.columns != head for r in roots):
         raise CodedError(PREPARE, "the roots' columns differ", columns=[r.columns for r in roots])
-    numbered = [with_index(r, "_pos").withColumn("_root", F.lit(k)) for k, r in enumerate(roots)]
+    numbered = [r.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_root", F.lit(k)) for k, r in enumerate(roots)]
     rows = reduce(DataFrame.unionByName, numbered)
     if not key:
         return rows.select(*head), rows.limit(0).select(*head)

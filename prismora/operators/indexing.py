@@ -10,7 +10,11 @@ _ROWS_A_PARTITION = 1 << 33
 
 def with_index(df: DataFrame, name: str = "row_index", start: int = 0) -> DataFrame:
     """df with numbers start, start + 1, ... in the order of its partitions and their rows; one count a partition is
-    summed in one place, the rows stay where they are."""
+    summed in one place, the rows stay where they are.
+
+    df is evaluated twice, for the counts and for the rows, and must give the same partitions each time, as a scan does.
+    What is dealt by sampled ranges need not.
+    """
     marked = df.withColumn("_id", F.monotonically_increasing_id())
     part = F.floor(F.col("_id") / _ROWS_A_PARTITION)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
