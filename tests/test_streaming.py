@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from prismora.operators import estimators
 from prismora.operators.knn import knn
+from prismora.plans import catalogue
 from prismora.streaming.mapping import chunk_rows, map_stream, samples, stream_samples
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,6 +35,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert run().where("query_id = 1000000").count() == 64
 
 
+def test_streamed_folder(spark, tmp_path):
+    """The embeddings as a folder of files give what the one file gives."""
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = catalogue.queries()["streamed_mapping"]
+    found, want = (sorted(map(tuple, query(spark, d).collect())) for d in (str(tmp_path), SMALL))
+    assert found == want and len(want)
+
+
 def test_samples(spark):
     given = [("a", "red", 0.1, None), ("b", "red", 0.3, False), ("a", "blue", 0.2, True), ("b", "blue", None, True), (None, "red", 0.5, True), ("a", "other", 9.0, True)]
     kind = "sample_id string, band_id string, reflectance double, valid boolean"
