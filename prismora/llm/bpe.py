@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import HELD, lean, slices
 from .tokens import Memo, default_path, default_pattern, ranks
 
 LONG = 64
@@ -61,6 +61,22 @@ group by s.word
 """
 
 
+#: Of pieces: their ids joined by a space, with the decoded bytes where these are not the piece's own; and the pieces.
+Stretch = tuple[list[str | tuple[str, bytes]], list[str]]
+
+
+def _pair(value: str | tuple[str, bytes], piece: str) -> tuple[str, bytes]:
+    return (value, piece.encode("utf-8", "surrogatepass")) if isinstance(value, str) else value
+
+
+def _joined(values: list[str | tuple[str, bytes]], pieces: list[str]) -> tuple[str, bytes]:
+    """Ids of a stretch joined by a space, and its decoded bytes."""
+    if set(map(type, values)) <= {str}:
+        return " ".join(values), "".join(pieces).encode("utf-8", "surrogatepass")
+    pairs = [_pair(v, w) for v, w in zip(values, pieces)]
+    return " ".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+
+
 class Coder:
     """Encodes and decodes with one DuckDB connection in this process."""
 
@@ -115,10 +131,11 @@ class Coder:
     def batch(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
         """For each text, its pieces' (ids joined by a space, decoded bytes)."""
         for parts in self.stretched(texts):
-            yield list(itertools.chain.from_iterable(parts))
+            yield [_pair(v, w) for values, pieces in parts for v, w in zip(values, pieces)]
 
-    def stretched(self, texts: list[str]) -> Iterator[Iterator[list[tuple[str, bytes]]]]:
-        """The same as lists of at most STRETCH pieces; a text's lists are to be used up before the next text's."""
+    def stretched(self, texts: list[str]) -> Iterator[Iterator[Stretch]]:
+        """For each text, stretches of at most STRETCH pieces: what the memo has of them, and the pieces. A text's
+        stretches are to be used up before the next text's."""
         stretches = ((k, part) for k, t in enumerate(texts) for part in self._stretches(t))
         held: list[tuple[int, list[str]]] = []
         coded = self._coded(stretches, held)
@@ -133,7 +150,7 @@ class Coder:
                 return
         yield []
 
-    def _coded(self, stretches: Iterator[tuple[int, list[str]]], held: list) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    def _coded(self, stretches: Iterator[tuple[int, list[str]]], held: list) -> Iterator[tuple[int, Stretch]]:
         """Code stretches together until they have STRETCH pieces, so that small texts share a query."""
         size = 0
         for k, part in itertools.chain(stretches, [(-1, [])]):
@@ -144,11 +161,14 @@ class Coder:
             new = self.memo.missing(set(itertools.chain.from_iterable(p for _, p in held)))
             if new:
                 coded = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
-                self.memo.update(zip(new, ((" ".join(map(str, ids)), body) for ids, body in zip(coded, self.decode_words(coded)))))
+                for w, ids, body in zip(new, coded, self.decode_words(coded)):
+                    line = " ".join(map(str, ids))
+                    self.memo[w] = line if body == w.encode("utf-8", "surrogatepass") else (line, body)
+                del new, coded
             known = self.memo
             for own, pieces in held:
                 if own >= 0:
-                    yield own, [known[w] for w in pieces]
+                    yield own, ([known[w] for w in pieces], pieces)
             held.clear()
             size = 0
 
@@ -176,6 +196,7 @@ def _contract(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 
 _coders: dict[tuple[str, str], Coder] = {}
+HELD["bpe"] = _coders.clear
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -192,12 +213,12 @@ def _digests(path: str, pattern: str):
             counts, ids, bodies = [], [], []
             for stretches in coder(path, pattern).stretched(texts):
                 n, line, body = 0, hashlib.sha256(), hashlib.sha256()
-                for parts in stretches:
-                    if parts:
-                        text = " ".join([p[0] for p in parts])
+                for values, pieces in stretches:
+                    if values:
+                        text, part = _joined(values, pieces)
                         line.update((" " + text if n else text).encode())
                         n += text.count(" ") + 1
-                        body.update(b"".join([p[1] for p in parts]))
+                        body.update(part)
                 counts.append(n), ids.append(line.hexdigest()), bodies.append(body.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -208,7 +229,7 @@ def _encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [[int(x) for parts in stretches for p in parts for x in p[0].split()] for stretches in coder(path, pattern).stretched(texts)]
+            ids = [[int(x) for values, pieces in stretches for x in _joined(values, pieces)[0].split()] for stretches in coder(path, pattern).stretched(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -227,7 +248,7 @@ def _decoded(path: str, pattern: str):
 
 def _map(df: DataFrame, id_col: str, col: str, run, more: str, name: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(col).alias(name))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {more}")
+    return rows.mapInArrow(lean(run, "bpe"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {more}")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

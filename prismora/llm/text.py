@@ -6,7 +6,8 @@ equals the code-point pattern ``[^\\x20\\x09-\\x0D]+`` on UTF-8. Hashes lower-ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +137,35 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(h, min(n, len(h))))
 
 
+#: By operator: frees what it holds in this worker process between tasks.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return memory that is free to the system; workers are used again, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's function that first frees what other operators hold in its worker process, and gives back memory when it ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        others = [free for name, free in HELD.items() if name != own]
+        for free in others:
+            free()
+        if others:
+            give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of text; one longer text stays whole, alone."""
     for batch in batches:

@@ -3,6 +3,7 @@
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import near
 from hypothesis import given, settings
@@ -193,3 +194,19 @@ def test_mix_is_written_block_by_block(spark):
         sums[r.doc_id] = sums.get(r.doc_id, 0) + len(r.text.split())
     for r in mixing.mix_sizes(docs, shards=3).groupBy("doc_id").sum("taken").collect():
         assert r[1] == sums.get(r.doc_id, 0)
+
+
+def test_quality_tasks_free_the_coder_of_their_worker():
+    """Workers are used again, so what one operator holds there would add to the next one's memory."""
+    from prismora.llm import text
+
+    path, pattern = default_path("byte_bpe_50k.tiktoken"), default_pattern()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a", None]})
+    coded = [x for b in text.lean(bpe._digests(path, pattern), "bpe")(iter([batch])) for x in b.column(1).to_pylist()]
+    assert coded == [len(rank_encoder(path, pattern).encode_ordinary("a b a")), 0] and len(bpe._coders) == 1
+    counted = [x for b in text.lean(quality._counted)(iter([batch])) for x in b.column(1).to_pylist()]
+    assert counted == [3, 0] and not bpe._coders
+
+
+def test_bodies_that_are_not_the_pieces_own():
+    assert bpe._joined([("1 2", b"x"), "3"], ["ab", "c"]) == ("1 2 3", b"xc") and bpe._joined(["1 2", "3"], ["\u00e9", "c"]) == ("1 2 3", "\u00e9c".encode())
