@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir, written
 from .text import Words, slices, split_words, word_hashes
-from .tokens import Memo, cuts_at_spaces, default_path, json_encoder
+from .tokens import cuts_at_spaces, default_path, json_encoder, word_rules
 
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
 SHARE = 0.9
+AT_ONCE = 64  # blocks packed together
 FILE_BYTES = 24 << 20
-MEMO = 400_000
+MEMO = 600_000
+JOINED = 1000  # pieces encoded as one text
 
 
 def pack_block(ids: np.ndarray, share: float = SHARE) -> bytes:
@@ -45,11 +47,31 @@ def pack_block(ids: np.ndarray, share: float = SHARE) -> bytes:
     rest = (ids - low).astype(np.uint32)
     at = np.partition(rest, min(len(rest) - 1, int(share * len(rest))))[min(len(rest) - 1, int(share * len(rest)))]
     width = int(at).bit_length()
-    bits = np.unpackbits(rest.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :] if width else np.zeros((len(rest), 0), np.uint8)
+    room = 16 if width <= 16 else 32
+    bits = np.unpackbits(rest.astype(f">u{room // 8}").view(np.uint8).reshape(-1, room // 8), axis=1)[:, room - width :] if width else np.zeros((len(rest), 0), np.uint8)
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     return struct.pack("<IHBxH", low, len(ids), width, len(out)) + np.packbits(bits).tobytes() + out.astype("<u2").tobytes() + (rest[out] >> np.uint32(width)).astype("<u4").tobytes()
 
 
+def pack_blocks(ids: np.ndarray, share: float = SHARE) -> Iterator[bytes]:
+    """pack_block() of each row of a table of blocks that are whole."""
+    k, n = ids.shape
+    low = ids.min(axis=1)
+    rest = (ids - low[:, None]).astype(np.uint32)
+    nth = min(n - 1, int(share * n))
+    widths = [int(x).bit_length() for x in np.partition(rest, nth, axis=1)[:, nth]]
+    if max(widths) > 16:
+        yield from (pack_block(x, share) for x in ids)
+        return
+    bits = np.unpackbits(rest.astype(">u2").view(np.uint8), axis=1).reshape(k, n, 16)
+    high = rest >> np.array(widths, np.uint32)[:, None]
+    row, place = np.nonzero(high)
+    high, place, cut = high[row, place].astype("<u4"), place.astype("<u2"), np.searchsorted(row, np.arange(k + 1)).tolist()
+    for i, (least, width) in enumerate(zip(low.tolist(), widths)):
+        out = slice(cut[i], cut[i + 1])
+        yield struct.pack("<IHBxH", least, n, width, out.stop - out.start) + np.packbits(bits[i, :, 16 - width :]).tobytes() + place[out].tobytes() + high[out].tobytes()
+
+
 def unpack_block(body: bytes, at: int) -> np.ndarray:
     low, n, width, extra = struct.unpack_from("<IHBxH", body, at)
     at += 10
@@ -83,10 +105,12 @@ class Writer:
         self.ids += doc_ids
         self.counts += counts.tolist()
         self.left = np.concatenate([self.left, ids])
-        while len(self.left) >= BLOCK:
-            self.starts.append(self.at)
-            self._write(pack_block(self.left[:BLOCK]))
-            self.left = self.left[BLOCK:]
+        whole = len(self.left) // BLOCK * BLOCK
+        for lo in range(0, whole, AT_ONCE * BLOCK):
+            for body in pack_blocks(self.left[lo : min(whole, lo + AT_ONCE * BLOCK)].reshape(-1, BLOCK)):
+                self.starts.append(self.at)
+                self._write(body)
+        self.left = self.left[whole:].copy()
 
     def close(self) -> int:
         if len(self.left):
@@ -132,14 +156,91 @@ def _equal(w: Words, other: np.ndarray) -> bool:
     return bool(np.array_equal(w.data[own], w.data[own + np.repeat(w.starts[other] - w.starts, size)]))
 
 
+_KIND = np.full(256, 4)  # 0: white space, 1: letters, 2: digits, 3: other ASCII, 4: not ASCII
+_KIND[:128] = [0 if c in b" \t\n\x0b\x0c\r" else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)]
+_KIND = _KIND.astype(np.uint8)
+_CUT = np.array([[a != b and 0 < a < 4 and 0 < b < 4 for b in range(5)] for a in range(5)]).ravel()
+
+
+def pieces(w: Words, lower: bool, classes: bool, whole: bytes) -> Words:
+    """Parts of words that a tokenizer codes each for itself, A-Z lower-cased in those of ASCII alone.
+
+    A word is cut between two ASCII characters of different kinds; next to others, which may be of any kind or combine,
+    it is not. Words with a byte of `whole` stay as they are.
+    """
+    stop = np.zeros(256, bool)
+    stop[list(whole)] = True
+    kept = np.zeros(len(w.starts), bool)  # whole words
+    at = np.flatnonzero(stop[w.data])
+    kept[np.searchsorted(w.starts, at, "right") - 1] = True
+    starts, ends = w.starts, w.ends
+    if classes and len(w.data):
+        kind = _KIND[w.data]
+        cut = np.flatnonzero(_CUT[5 * kind[:-1] + kind[1:]]) + 1
+        of = np.searchsorted(starts, cut, "right") - 1
+        cut = cut[(starts[of] < cut) & ~kept[of]]
+        starts, ends = np.sort(np.concatenate([starts, cut]), kind="stable"), np.sort(np.concatenate([ends, cut]), kind="stable")
+        kept = kept[np.searchsorted(w.starts, starts, "right") - 1]
+    data = w.data
+    if lower:
+        kept[np.searchsorted(starts, np.flatnonzero(data >= 128), "right") - 1] = True
+        upper = np.flatnonzero((data >= 65) & (data <= 90))
+        upper = upper[~kept[np.searchsorted(starts, upper, "right") - 1]]
+        data = data.copy()
+        data[upper] += 32
+    return Words(data, w.docs, starts, ends, np.searchsorted(starts, w.docs))
+
+
+def _taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that begin there and are so long, one after another."""
+    return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+class Known:
+    """Bytes and ids of pieces in arrays sorted by hash. Of more than `size` pieces the half asked for last stays."""
+
+    def __init__(self, size: int):
+        self.size, self.now = size, 0
+        self.hash = np.zeros(0, np.uint64)
+        self.at, self.long, self.begin, self.count, self.used = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.body, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def turn(self) -> None:
+        """Begin a batch."""
+        self.now += 1
+        if len(self.hash) > self.size:
+            keep = np.sort(np.argpartition(-self.used, self.size // 2)[: self.size // 2])
+            self.body, self.ids = _taken(self.body, self.at[keep], self.long[keep]), _taken(self.ids, self.begin[keep], self.count[keep])
+            self.hash, self.long, self.count, self.used = self.hash[keep], self.long[keep], self.count[keep], self.used[keep]
+            self.at, self.begin = np.cumsum(self.long) - self.long, np.cumsum(self.count) - self.count
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand, and whether it is there."""
+        at = np.searchsorted(self.hash, hashes)
+        found = at < len(self.hash)
+        found[found] = self.hash[at[found]] == hashes[found]
+        self.used[at[found]] = self.now
+        return at, found
+
+    def add(self, hashes: np.ndarray, long: np.ndarray, body: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at, begin = len(self.body) + np.cumsum(long) - long, len(self.ids) + np.cumsum(count) - count
+        where = np.searchsorted(self.hash, hashes[order])
+        self.at, self.long, self.begin, self.count = (np.insert(x, where, y[order]) for x, y in ((self.at, at), (self.long, long), (self.begin, begin), (self.count, count)))
+        self.used, self.hash = np.insert(self.used, where, self.now), np.insert(self.hash, where, hashes[order])
+        self.body, self.ids = np.concatenate([self.body, body]), np.concatenate([self.ids, ids])
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, through a bounded memo of space-separated words.
+    """Ids of whole texts by the tokenizers library, through a bounded memo of pieces of space-separated words.
 
     Only for tokenizers that drop white space before their merges; others encode each text whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.encoder, self.by_word, self.memo = json_encoder(path), cuts_at_spaces(path), Memo(memo)
+        self.encoder, self.by_word, self.memo = json_encoder(path), cuts_at_spaces(path), Known(memo)
+        self.rules = word_rules(path) if self.by_word else (False, False, b"")
+        self.own = self.rules[0] and self.rules[1]  # a piece a-z goes into the merges as it is
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -148,23 +249,24 @@ class WordEncoder:
         w = split_words(column)
         if not len(w.starts):
             return np.zeros(0, np.uint32), np.zeros(len(w.docs) - 1, np.int64)
-        _, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        if not _equal(w, first[of]):  # two words with one hash
+        w, memo = pieces(w, *self.rules), self.memo
+        key, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        if not _equal(w, first[of]):  # two pieces with one hash
+            return self._whole(column)
+        starts, long = w.starts[first], (w.ends - w.starts)[first]
+        memo.turn()
+        at, old = memo.places(key)
+        at = at[old]
+        if not np.array_equal(memo.long[at], long[old]) or not np.array_equal(_taken(memo.body, memo.at[at], long[old]), _taken(w.data, starts[old], long[old])):
             return self._whole(column)
-        body = w.data.tobytes()
-        words = [body[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
-        new = self.memo.missing(words)
-        plain = [x for x in new if x.isascii()]
-        for k in range(0, len(plain), 1000):
-            self.memo.update(self._joined(plain[k : k + 1000]))
-        other = [x for x in new if not x.isascii()]
-        coded = self.encoder.encode_batch([x.decode("utf-8", "replace") for x in other], add_special_tokens=False)
-        self.memo.update(zip(other, (array("I", e.ids).tobytes() for e in coded)))
-        known = [self.memo[x] for x in words]
-        size = np.array([len(x) for x in known], np.int64) // 4
-        flat, begin = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        new = np.flatnonzero(~old)
+        if len(new):
+            body = _taken(w.data, starts[new], long[new])
+            memo.add(key[new], long[new], body, *self._coded(body.tobytes(), np.cumsum(long[new])))
+        at, _ = memo.places(key)
+        size, begin = memo.count[at], memo.begin[at]
         each = size[of]
-        ids = flat[np.repeat(begin[of] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        ids = _taken(memo.ids, begin[of], each)
         total = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=total[1:])
         return ids, total[w.first[1:]] - total[w.first[:-1]]
@@ -173,13 +275,32 @@ class WordEncoder:
         found = [np.array(e.ids, np.uint32) for e in self.encoder.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def _joined(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of ASCII words from one text with a space between them, cut at the words' offsets."""
-        e = self.encoder.encode(b" ".join(words).decode(), add_special_tokens=False)
+    def _coded(self, body: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece of `body`, and all ids."""
+        ends = ends.tolist()
+        words = [body[a:b] for a, b in zip([0, *ends], ends)]
+        ids = [b""] * len(words)
+        plain, other = [], []
+        for k, x in enumerate(words):
+            (plain if self.own and x.isalpha() and x.islower() else other).append(k)
+        model = self.encoder.model
+        for k in plain:  # as the steps before the merges leave them
+            ids[k] = array("I", [t.id for t in model.tokenize(words[k].decode())]).tobytes()
+        for lo in range(0, len(other), JOINED):
+            part = other[lo : lo + JOINED]
+            for k, x in zip(part, self._joined([words[k].decode("utf-8", "replace") for k in part])):
+                ids[k] = x
+        return np.array([len(x) for x in ids], np.int64) // 4, np.frombuffer(b"".join(ids), np.uint32)
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words from one text with a space between them, cut at the words' offsets."""
+        e = self.encoder.encode(" ".join(words), add_special_tokens=False)
+        starts = np.array([o[0] for o in e.offsets], np.int64)
+        if (np.diff(starts) < 0).any():
+            return (array("I", x.ids).tobytes() for x in self.encoder.encode_batch(words, add_special_tokens=False))
         ids = array("I", e.ids).tobytes()
-        begin = np.cumsum([0, *[len(x) + 1 for x in words]])
-        cut = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begin)).tolist()
-        return zip(words, (ids[a:b] for a, b in zip(cut[:-1], cut[1:])))
+        cut = (4 * np.searchsorted(starts, np.cumsum([0, *[len(x) + 1 for x in words]]))).tolist()
+        return (ids[a:b] for a, b in zip(cut[:-1], cut[1:]))
 
 
 _encoders: dict[str, WordEncoder] = {}

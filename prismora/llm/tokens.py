@@ -60,6 +60,22 @@ def cuts_at_spaces(path: str) -> bool:
     return bool(plain and split and rest and not spec.get("post_processor") and not spec.get("truncation"))
 
 
+#: Letters, single digits, and runs of anything else but white space, after lower-casing; contractions hold an apostrophe.
+CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.lru_cache(4)
+def word_rules(path: str) -> tuple[bool, bool, bytes]:
+    """Of a tokenizer that cuts at spaces: does it lower-case, does it cut where letters, digits and others meet, and
+    the bytes that keep a word whole: those an added token may begin with, and the apostrophe."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    lower = any(s["type"] == "Lowercase" for s in (spec.get("normalizer") or {}).get("normalizers", []))
+    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    begins = {x.encode()[:1] for t in spec.get("added_tokens") or [] for x in (t["content"], t["content"].lower(), t["content"].upper())}
+    return lower, first.get("pattern") == {"Regex": CLASSES}, b"'" + b"".join(sorted(begins))
+
+
 class Memo(dict):
     """Values of frequent keys in two generations of bounded size: a key that is asked for again outlives the turn-over."""
 
