@@ -6,11 +6,13 @@ p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). As an automaton: a history seen in tr
 an arc, and the failure arc to the next shorter history weighs mu / (c(h) + mu). One left-to-right traversal of a text
 carries its state and adds up log10 weights.
 
-Nothing needs the whole model in one place. Documents are packed into chunks of bounded size, written once; a chunk
-asks for the counts of the n-grams that its own texts can reach, keyed by hash and dealt into buckets that sum all
-chunks' training counts; the answers build the chunk's part of the automaton. A chunk sends rows only to buckets it
-has n-grams for, so the rows exchanged are at most the chunks' distinct n-grams, and each task's part is bounded but
-for one term: an n-gram found in every chunk gives its bucket one row of each.
+Nothing needs the whole model in one place. Documents are packed into chunks of bounded size, each written by its task
+as a file in the shared folder, so no text passes through a shuffle; a chunk asks for the counts of the n-grams that
+its own texts can reach, keyed by hash and dealt into buckets that sum all chunks' training counts; the answers build
+the chunk's part of the automaton. A chunk sends rows only to buckets it has n-grams for, so the rows exchanged are at
+most the chunks' distinct n-grams. A bucket is a partition by its number, and so are CHUNKS chunks, so no task gets
+several of the large ones by chance; each task's part is bounded but for one term: an n-gram found in every chunk gives
+its bucket one row of each.
 
 Null texts count as empty: one token, the end. A null doc_id counts as the empty string for the split. Repeated rows
 are counted and scored each, and get equal scores; equal probabilities need no tie rule, as a traversal has one path.
@@ -21,21 +23,24 @@ names. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import written
-from .text import U, coefficients, mix, slices, split_words, word_hashes
+from .shared import shared_dir, written
+from .text import U, coefficients, lean, mix, slices, split_words, word_hashes
 
 ORDER = 2
 MU = 4.0
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+CHUNKS = 4  # of a task
 WALK = 1 << 14  # places of a traversal that are Python numbers at a time
 FOLDS, HELD_OUT = 5, 1
 END = mix(np.array([0x454E44], U))[0]
@@ -85,20 +90,45 @@ def _unpacked(body: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a chunk: its documents as a compressed Arrow stream."""
-    for batch in slices(batches, "text", CHUNK_BYTES):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["body"])
+def _chunked(root: str):
+    """One row a chunk: the file with its documents as a compressed Arrow stream."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        fs.create_dir(base, recursive=True)
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            name = uuid.uuid4().hex
+            with fs.open_output_stream(f"{base}/{name}") as sink, pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    return run
+
+
+def _unchunked(root: str, name: str) -> pa.Table:
+    fs, base = pafs.FileSystem.from_uri(root)
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return pa.ipc.open_stream(f).read_all().combine_chunks()
 
-def _unchunked(body: bytes) -> pa.Table:
-    return pa.ipc.open_stream(body).read_all().combine_chunks()
 
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Rows of equal keys, of batches sorted by them; one group is held at a time."""
+    held, last = [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)))
+        lo = 0
+        for hi in range(1, len(keys) + 1):
+            if hi == len(keys) or keys[hi] != keys[lo]:
+                if held and keys[lo] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last, lo = keys[lo], hi
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _asked(order: int, buckets: int):
+
+def _asked(root: str, order: int, buckets: int):
     def rows(number: int, chunk: pa.Table) -> Iterator[tuple]:
         tokens, first = _tokens(chunk.column("text").combine_chunks())
         train = np.repeat(~chunk.column("held_out").to_numpy(), np.diff(first))
@@ -112,8 +142,8 @@ def _asked(order: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body in zip(batch.column(0), batch.column(1)):
-                found = list(rows(number.as_py(), _unchunked(body.as_buffer())))
+            for number, name in zip(batch.column(0), batch.column(1)):
+                found = list(rows(number.as_py(), _unchunked(root, name.as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _ASKED.types)], schema=_ASKED)
 
     return run
@@ -140,6 +170,11 @@ def _summed(rows: pa.Table) -> pa.Table:
     })
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _groups(batches, "bucket", "n"):
+        yield from _summed(rows).to_batches()
+
+
 def _traverse(arcs: list[np.ndarray], failures: list[np.ndarray], states: list[np.ndarray], lo: int, hi: int) -> float:
     """Score of places lo..hi-1, one walk from left to right. arcs[n][i]: weight of the arc on token i from the history
     of n tokens, NaN for none; failures[n][i]: weight of that history's failure arc; states[n][i]: are the n tokens up
@@ -166,15 +201,13 @@ def _traverse(arcs: list[np.ndarray], failures: list[np.ndarray], states: list[n
 _SCORED = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(order: int, mu: float, tokens_in_training: int, kinds: int, id_type: pa.DataType):
+def _scored(root: str, order: int, mu: float, tokens_in_training: int, kinds: int, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), *_SCORED])
 
-    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return schema.empty_table()
-        chunk = _unchunked(chunk.column("body")[0].as_buffer())
+    def one(answers: pa.Table) -> pa.Table:
+        """Rows of one chunk by n and bucket; the first, of n = 0, names its file."""
+        chunk = _unchunked(root, answers.column("counts")[0].as_py().decode())
         tokens, first = _tokens(chunk.column("text").combine_chunks())
-        answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
         count = []  # of the n-gram that ends at each place
         for n, g in enumerate(_grams(tokens, first, order), 1):
             _, at = np.unique(g, return_inverse=True)
@@ -200,6 +233,10 @@ def _scored(order: int, mu: float, tokens_in_training: int, kinds: int, id_type:
             pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(scores, pa.float64()),
         ], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for answers in _groups(batches, "chunk"):
+            yield from one(answers).to_batches()
+
     return run
 
 
@@ -208,16 +245,22 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
-    chunks = written(rows.mapInArrow(_chunked, "body binary").withColumn("chunk", F.monotonically_increasing_id()).select("chunk", "body"), "chunks", spark)
+    root = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    files = written(rows.mapInArrow(lean(_chunked(root)), "file string"), "chunks", spark)
+    parts = max(1, math.ceil(files.count() / CHUNKS))
+    chunks = files.select((F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("chunk"), "file")  # one row a chunk
+    own = (F.col("chunk") % parts).cast("int")
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    asked = chunks.mapInArrow(_asked(order, buckets), "chunk long, n int, bucket int, keys binary, counts binary")
-    answers = asked.groupBy("n", "bucket").applyInArrow(_summed, "chunk long, n int, bucket int, counts binary, total long, kinds long")
+    asked = chunks.repartitionById(parts, own).mapInArrow(lean(_asked(root, order, buckets)), "chunk long, n int, bucket int, keys binary, counts binary")
+    answers = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(lean(_sums), "chunk long, n int, bucket int, counts binary, total long, kinds long")
     answers = written(answers, "counts", spark)
     total = answers.where("chunk = -1 and n = 1").agg(F.sum("total"), F.sum("kinds")).first()
     n, v = total[0] or 0, total[1] or 0
     kind = rows.schema["doc_id"].dataType
-    scored = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "n", "bucket", "counts").groupBy("chunk")).applyInArrow(
-        _scored(order, mu, n, v, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    named = chunks.select("chunk", F.lit(0).alias("n"), F.lit(0).alias("bucket"), F.col("file").cast("binary").alias("counts"))
+    dealt = answers.where("chunk >= 0").select("chunk", "n", "bucket", "counts").unionByName(named).repartitionById(parts, own)
+    scored = dealt.sortWithinPartitions("chunk", "n", "bucket").mapInArrow(
+        lean(_scored(root, order, mu, n, v, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
